@@ -188,7 +188,9 @@ class _Union:
 
 def _search(k: int, verify: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), pa.schema([("key", pa.int64()), ("f", pa.int64()), ("g", pa.int64()), ("id", pa.int64())]))
+        if not (held := list(batches)):
+            return
+        t = pa.Table.from_batches(held)
         key, f, g, ids = (c.to_numpy() for c in t.columns)
         f, g = f.view(np.uint64), g.view(np.uint64)
         node, at = np.unique(ids, return_inverse=True)
