@@ -40,7 +40,8 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of the lower-cased words of a whole text."""
-    words = WORD.findall(text.lower())
+    low = text.lower()
+    words = WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]  # as WORD cuts the text itself
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
