@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bpe, langid, mixing, simhash, substrings
+from glossa.llm import bm25, bpe, chat, langid, mixing, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -19,6 +23,10 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.passages(_table(spark, sf_dir, "documents")).drop("sig")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.windows(_table(spark, sf_dir, "conversations"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -33,8 +41,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_simhash": op2_simhash, "op5_substrings": op5_substrings, "op8_langid": op8_langid, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
+    return {f.__name__: f for f in (op1_bm25, op2_simhash, op5_substrings, op7_chat, op8_langid, op9_bpe, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_bm25": bm25.SQL, "op7_chat": chat.SQL}
