@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bm25, bpe, chat, langid, licenses, mixing, simhash, substrings
+from glossa.llm import bm25, bpe, chat, langid, licenses, lm, mixing, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.matches(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(_table(spark, sf_dir, "documents"))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.passages(_table(spark, sf_dir, "documents")).drop("sig")
 
@@ -45,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bm25, op2_simhash, op3_licenses, op5_substrings, op7_chat, op8_langid, op9_bpe, op10_mixing)}
+    return {f.__name__: f for f in (op1_bm25, op2_simhash, op3_licenses, op4_lm, op5_substrings, op7_chat, op8_langid, op9_bpe, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
