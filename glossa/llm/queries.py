@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import bm25, bpe, chat, langid, licenses, lm, mixing, simhash, substrings
+from glossa.llm import audio, bm25, bpe, chat, langid, licenses, lm, mixing, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.passages(_table(spark, sf_dir, "documents")).drop("sig")
 
 
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.align(audio.media_of(_table(spark, sf_dir, "embeddings")), "id", "media")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.windows(_table(spark, sf_dir, "conversations"))
 
@@ -49,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bm25, op2_simhash, op3_licenses, op4_lm, op5_substrings, op7_chat, op8_langid, op9_bpe, op10_mixing)}
+    return {f.__name__: f for f in (op1_bm25, op2_simhash, op3_licenses, op4_lm, op5_substrings, op6_audio, op7_chat, op8_langid, op9_bpe, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
