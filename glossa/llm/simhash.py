@@ -1,7 +1,7 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
-Each document gets two 64-bit SimHashes: one of its set of words, which is searched, and one of its word
-pairs, which verifies. All pairs of word fingerprints that differ in at most ``k`` bits are found, and a
+Each document gets two 64-bit SimHashes: one of its words, each weighted by the root
+of its count, which is searched, and one of its word pairs, which verifies. All pairs of word fingerprints that differ in at most ``k`` bits are found, and a
 pair counts as near-duplicate when its second fingerprints differ in at most ``verify`` bits. Groups are
 the connected components of these pairs.
 
@@ -32,15 +32,15 @@ from pyspark.sql import functions as F
 from glossa.llm.common import components, cut, mix64, shingle_hashes, word_hashes
 
 K = 9
-VERIFY = 20
+VERIFY = 17
 PARTS, SUB = 5, 4
 _LEAF, _TOP = 8, 64
 _FRONT = 2_000_000
 
 
-def _sign(h: np.ndarray) -> int:
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
-    return int(np.packbits(2 * bits > len(h)).view(np.int64)[0])
+def _sign(h: np.ndarray, weight: np.ndarray) -> int:
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+    return int(np.packbits(2 * (weight @ bits) > weight.sum()).view(np.int64)[0])
 
 
 def fingerprint(text: str | None) -> tuple[int, int] | None:
@@ -48,7 +48,9 @@ def fingerprint(text: str | None) -> tuple[int, int] | None:
     words = word_hashes(text) if text else None
     if words is None or not len(words):
         return None
-    return _sign(mix64(np.unique(words))), _sign(shingle_hashes(words, 2))
+    word, n = np.unique(words, return_counts=True)
+    pairs = shingle_hashes(words, 2)
+    return _sign(mix64(word), np.sqrt(n)), _sign(pairs, np.ones(len(pairs)))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
