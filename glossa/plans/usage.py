@@ -1 +1,70 @@
-"""."""
+"""Queries on key usage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glossa.operators import usage as us
+from glossa.plans.adapters import LINES, rows
+from glossa.plans.registry import query
+
+_RX = {"getx": r"""["'']([A-Za-z0-9_.-]+)["'']\.tr\b""", "function": r"""\bt\(["'']([A-Za-z0-9_.-]+)["'']\)""", "laravel": r"""__\(["'']([A-Za-z0-9_.-]+)["'']\)""", "concat": r"""\bt\(["'']([A-Za-z0-9_.-]+)["''] \+ """}
+_PLACE = "CASE WHEN contains(lower(code), 'showdialog') OR contains(lower(code), 'modal') THEN 'dialog' WHEN contains(lower(code), 'button') THEN 'button' WHEN contains(lower(code), 'title') THEN 'title' WHEN contains(lower(code), 'label') THEN 'label' WHEN contains(lower(code), 'text(') THEN 'body' ELSE 'unknown' END"
+_USED = " UNION ALL ".join(f"SELECT id, line, '{f}' AS family, '{'dynamic' if f == 'concat' else 'static'}' AS mode, {_PLACE} AS place, unnest(regexp_extract_all(code, '{rx}', 1)) AS key FROM ({LINES})" for f, rx in _RX.items())
+_CODE_EN = "SELECT concat('orders.', CAST(o_orderkey AS STRING)) AS key FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT concat('status_', lower(o_orderstatus)) FROM orders"
+_CODE_AR = "SELECT concat('orders.', CAST(o_orderkey AS STRING)) AS key FROM orders WHERE o_orderkey % 4 <> 0"
+
+
+def _used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return us.scan(rows(spark, sf_dir, LINES)).withColumn("place", us.metadata(F.col("code"))).drop("code")
+
+
+@query(_USED)
+def usage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _used(spark, sf_dir)
+
+
+@query(f"SELECT key, count(*) AS n, array_to_string(list_sort(list(DISTINCT family)), ',') AS families, array_to_string(list_sort(list(DISTINCT place)), ',') AS places, max(CASE WHEN mode = 'static' THEN 1.0 ELSE 0.65 END) AS confidence FROM ({_USED}) GROUP BY key")
+def usage_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return us.aggregate(_used(spark, sf_dir))
+
+
+@query(f"SELECT family, mode, count(*) AS n, count(DISTINCT key) AS keys FROM ({_USED}) GROUP BY family, mode")
+def usage_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _used(spark, sf_dir).groupBy("family", "mode").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
+
+
+@query(f"""WITH u AS (SELECT * FROM ({_USED})), e AS (SELECT DISTINCT key FROM ({_CODE_EN})), a AS (SELECT DISTINCT key FROM ({_CODE_AR})), s AS (SELECT DISTINCT key FROM u WHERE mode <> 'dynamic'),
+ p AS (SELECT DISTINCT key AS prefix FROM u WHERE mode = 'dynamic'), k AS (SELECT key FROM e UNION SELECT key FROM a UNION SELECT key FROM s)
+ SELECT k.key, CASE WHEN e.key IS NULL AND a.key IS NULL THEN 'missing_in_both' WHEN s.key IS NOT NULL AND a.key IS NULL THEN 'missing_ar' WHEN s.key IS NOT NULL AND e.key IS NULL THEN 'missing_en' WHEN s.key IS NOT NULL THEN 'used'
+  WHEN EXISTS (SELECT 1 FROM p WHERE starts_with(k.key, prefix)) THEN 'dynamic' ELSE 'unused' END AS status
+ FROM k LEFT JOIN e ON k.key = e.key LEFT JOIN a ON k.key = a.key LEFT JOIN s ON k.key = s.key""")
+def key_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return us.key_status(rows(spark, sf_dir, _CODE_EN), rows(spark, sf_dir, _CODE_AR), _used(spark, sf_dir))
+
+
+@query(f"SELECT DISTINCT k.key, p.prefix FROM ({_CODE_EN}) k JOIN (SELECT DISTINCT key AS prefix FROM ({_USED}) WHERE mode = 'dynamic') p ON starts_with(k.key, p.prefix)")
+def dynamic_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return us.dynamic_matches(rows(spark, sf_dir, _CODE_EN).distinct(), _used(spark, sf_dir))
+
+
+@query(f"SELECT DISTINCT key FROM ({_CODE_EN}) WHERE key NOT IN (SELECT key FROM ({_USED}) WHERE key IS NOT NULL)")
+def unused_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, _CODE_EN).distinct().join(_used(spark, sf_dir).select("key"), "key", "left_anti")
+
+
+@query(f"SELECT DISTINCT key FROM ({_USED}) WHERE key NOT IN (SELECT key FROM ({_CODE_EN})) AND key NOT IN (SELECT key FROM ({_CODE_AR})) AND mode <> 'dynamic'")
+def used_missing_in_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = _used(spark, sf_dir).where("mode <> 'dynamic'").select("key").distinct()
+    return u.join(rows(spark, sf_dir, _CODE_EN), "key", "left_anti").join(rows(spark, sf_dir, _CODE_AR), "key", "left_anti")
+
+
+@query(f"SELECT key FROM ({_CODE_EN}) INTERSECT SELECT key FROM ({_CODE_AR})")
+def shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, _CODE_EN).intersect(rows(spark, sf_dir, _CODE_AR))
+
+
+@query(f"SELECT key FROM ({_CODE_EN}) UNION SELECT key FROM ({_CODE_AR}) UNION SELECT key FROM ({_USED})")
+def all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, _CODE_EN).union(rows(spark, sf_dir, _CODE_AR)).union(_used(spark, sf_dir).select("key")).distinct()
