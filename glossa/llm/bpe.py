@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,6 +148,15 @@ class _Index(dict):
 
 
 _split = regex.compile(PATTERN)
+# Over Latin letters, ASCII digits and common marks the pattern is the same with these ranges, which the standard library takes faster.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_latin = re.compile("[\t\n\r -~\xa0-±´-¸º»¿-ɏ‐-‧€]*")
+_split_latin = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+
+
+def split(text: str) -> list[str]:
+    """The words of a text, as PATTERN cuts it."""
+    return (_split_latin if _latin.fullmatch(text) else _split).findall(text)
 
 
 def encode_texts(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +164,7 @@ def encode_texts(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.nd
     index = _Index()
     found = []
     for t in texts:
-        words = _split.findall(t)
+        words = split(t)
         found.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
     ids, size = replay([w.encode() for w in index], vocab)
     word = np.concatenate(found) if found else np.zeros(0, np.int32)
