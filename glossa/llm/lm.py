@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from glossa.llm import bpe
 from glossa.llm.common import cut
 
-SYMBOLS, CLASSES, WIDTH, STRIDE, EVERY, ROUNDS = 2048, 64, 16, 16, 512, 2
+SYMBOLS, CLASSES, WIDTH, STRIDE, EVERY, ROUNDS = 2048, 64, 16, 16, 1024, 2
 _BATCH, _RATE, _PARAM_BLOCKS, _SCORED = 64, 0.01, 16, 4096
+_TEXT_BYTES, _ID_BYTES = 12_000_000, 1_000_000
+_SAFE = 60.0  # logits up to here need no shift before the exponential
 _NO = np.float32(-1e9)
 
 
@@ -170,24 +173,27 @@ def score(net: Network, rank: Ranking, ids: np.ndarray, size: np.ndarray) -> np.
     tq, tk, tv, tx, ow = net.tables()
     dist = _offsets(h)
     base = np.where(dist < 0, _NO, net.p["D"][np.maximum(dist, 0)])
-    window = np.arange(2 * h)
+    window, row = np.arange(2 * h), np.arange(_SCORED)
+    ones_k, ones_c = np.ones(2 * h, np.float32), np.ones(tx.shape[1], np.float32)
     for i in range(0, len(start), _SCORED // h):
         t = slice(i, i + _SCORED // h)
         s = flat[start[t, None] + window]
         a = tq[s[:, h:]] @ tk[s].transpose(0, 2, 1)
         a += base
         a += np.where(s == net.pad, _NO, np.float32(0))[:, None]
-        a -= a.max(2, keepdims=True)
+        if a.max() > _SAFE:
+            a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
-        c = a @ tv[s]
-        c /= a.sum(2, keepdims=True)
-        z = tx[s[:, h:]]
-        z += (c.reshape(-1, net.width) @ ow).reshape(z.shape)
-        z -= z.max(2, keepdims=True)
-        y = cls[t]
-        own = np.take_along_axis(z, np.maximum(y, 0)[:, :, None], 2)[:, :, 0]
+        c = (a @ tv[s]).reshape(-1, net.width)
+        c /= a.reshape(-1, 2 * h) @ ones_k[:, None]
+        z = tx[s[:, h:].ravel()]
+        z += c @ ow
+        if z.max() > _SAFE or z.min() < -_SAFE:
+            z -= z.max(1, keepdims=True)
+        y = cls[t].ravel()
+        own = z[row[: len(z)], np.maximum(y, 0)]
         np.exp(z, out=z)
-        loss = np.where(y >= 0, np.log(z.sum(2)) - own, 0)
+        loss = np.where(y >= 0, np.log(z @ ones_c) - own, 0).reshape(-1, h)
         np.add.at(out, text[t], loss.sum(1, dtype=float))
     return out - np.bincount(np.repeat(np.arange(len(size)), size), rank.given[ids], len(size))
 
@@ -210,8 +216,7 @@ def _tokenize(raw):
         if len(vocab.sizes) > 1 << 16:
             raise ValueError("ids must fit in two bytes")
         for b in batches:
-            for first in range(0, b.num_rows, 4000):
-                part = b.slice(first, 4000)
+            for part in _slices(b, "t", _TEXT_BYTES):
                 texts = part.column(1).to_pylist()
                 flat, n = bpe.encode_texts([t for t in texts if t is not None], vocab)
                 data, edge, k, out = flat.astype("<u2").tobytes(), np.r_[0, np.cumsum(n)] * 2, 0, []
@@ -223,6 +228,15 @@ def _tokenize(raw):
     return run
 
 
+def _slices(b: pa.RecordBatch, col: str, most: int) -> Iterator[pa.RecordBatch]:
+    """b in runs of rows with about ``most`` bytes in a column; a longer value is a run of its own."""
+    size = np.array([0 if x is None else x for x in pc.binary_length(b.column(col)).to_pylist()], np.int64)
+    run = np.cumsum(size) // most
+    edge = np.r_[0, np.flatnonzero(run[1:] != run[:-1]) + 1, len(run)] if len(run) else np.array([0])
+    for x, y in zip(edge, edge[1:]):
+        yield b.slice(int(x), int(y - x))
+
+
 def _ids(b: pa.RecordBatch) -> Iterator[np.ndarray | None]:
     for x in b.column("ids"):
         yield np.frombuffer(x.as_py(), "<u2").astype(np.int64) if x.is_valid else None
@@ -309,7 +323,7 @@ def fit(tokens: DataFrame, size: int, rounds: int = ROUNDS) -> tuple[Network, Ra
 def _score(given):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, rank = given.value
-        for b in batches:
+        for b in (part for batch in batches for part in _slices(batch, "ids", _ID_BYTES)):
             found = list(_ids(b))
             size = np.array([0 if x is None else len(x) for x in found], np.int64)
             nll = score(net, rank, np.concatenate([np.zeros(0, np.int64), *[x for x in found if x is not None]]), size)
