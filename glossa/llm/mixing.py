@@ -117,3 +117,25 @@ def _clear(name: str, taken: list[str]) -> str:
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix has them, in the order of their positions: rows left out are gone, those of later epochs come again. Columns as in docs."""
     return mix(docs, keep=docs.columns, **options).select(*docs.columns)
+
+
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+'))"
+
+#: The default mix of documents.
+SQL = rf"""
+WITH b AS (SELECT doc_id, source, coalesce(source, '') AS s, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS m, CAST(doc_id AS VARCHAR) AS o, {_WORDS} AS n FROM documents WHERE {_WORDS} > 0),
+sup AS (SELECT s, CAST(sum(n) AS BIGINT) AS supply, count(*) AS docs FROM b GROUP BY s),
+tot AS (SELECT CAST(coalesce(sum(supply), 0) AS DOUBLE) AS total FROM sup),
+k AS (SELECT s, pow(supply, {ALPHA}) AS base, CASE WHEN count(*) OVER () > 1 THEN {TILT} * (2 * (row_number() OVER (ORDER BY supply / docs, s) - 1) / (count(*) OVER () - 1) - 1) ELSE 0 END AS tilt FROM sup),
+p AS (SELECT s, i, i / {GRID}.0 AS g, base * (1 - tilt) + i / {GRID}.0 * (base * (1 + tilt) - base * (1 - tilt)) AS w FROM k, range(0, {GRID} + 1) r(i)),
+sh AS (SELECT s, i, g, w / sum(w) OVER (PARTITION BY i) AS share FROM p),
+c AS (SELECT s, i, g AS t1, lag(g) OVER q AS t0, (share + lag(share) OVER q) / (2.0 * {GRID}) AS part FROM sh WINDOW q AS (PARTITION BY s ORDER BY i)),
+d AS (SELECT s, i, t0, t1, sum(part) OVER (PARTITION BY s ORDER BY i ROWS UNBOUNDED PRECEDING) * total AS d1 FROM c, tot WHERE i > 0),
+e AS (SELECT s, t0, t1, coalesce(lag(d1) OVER (PARTITION BY s ORDER BY i), 0) AS d0, d1 FROM d),
+en AS (SELECT s, max(d1) AS fin FROM e GROUP BY s),
+pl AS (SELECT b.*, supply, fin, CAST(coalesce(sum(n) OVER (PARTITION BY b.s ORDER BY m, o, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS c0 FROM b JOIN sup ON b.s = sup.s JOIN en ON b.s = en.s),
+ep AS (SELECT *, unnest(range(0, CAST(ceil((fin - c0) / supply) AS BIGINT))) AS epoch FROM pl WHERE c0 < fin),
+x AS (SELECT doc_id, source, s, n, epoch, c0 + epoch * supply AS c FROM ep WHERE c0 + epoch * supply < fin)
+SELECT doc_id, source, n AS n_tokens, epoch, CAST(floor(round((t0 + greatest(c - d0, 0) / (d1 - d0) * (t1 - t0)) * total, 3)) AS BIGINT) AS position
+FROM x JOIN e ON x.s = e.s AND x.c >= e.d0 AND x.c < e.d1, tot
+"""

@@ -57,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_bm25": bm25.SQL, "op7_chat": chat.SQL}
+    return {"op1_bm25": bm25.SQL, "op7_chat": chat.SQL, "op10_mixing": mixing.SQL}
