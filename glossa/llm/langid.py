@@ -215,8 +215,11 @@ def _judge(net: Network | None, texts: list[str | None]) -> dict[str, list]:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, seed: int = 1) -> Network | None:
     """Trains on the sample_rows labelled rows of least hash of their id (and text); this bounds what the driver holds."""
     d = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("h"))
-    d = d.where("t is not null and l is not null").orderBy("h", "t", "l").limit(sample_rows).select("t", "l")
-    rows = d.collect()
+    d = d.where("t is not null and l is not null")
+    last = d.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]  # first the hashes alone, so that each task sends no more than those
+    if last is None:
+        return None
+    rows = d.where(F.col("h") <= last).orderBy("h", "t", "l").limit(sample_rows).select("t", "l").collect()
     return train([r.t for r in rows], [r.l for r in rows], seed=seed)
 
 
