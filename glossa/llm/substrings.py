@@ -2,8 +2,8 @@
 
 1. Seeds: of the K-word shingles of a text, each window of WINDOW shingles gives its least (a shared run of K + WINDOW - 1
    words always shares a seed).
-2. Join: seeds are shuffled by their hash and sorted; each occurrence is linked to the first one (least id, then place).
-   Links are as many as occurrences, however many documents share a passage: no pairs among the sharers are made, and none are
+2. Join: seeds are shuffled by their hash and sorted; each occurrence is linked to the document of least id that has the seed: to its occurrence
+   of the same rank, and to its first. Links are at most twice as many as occurrences, however many documents share a passage: no pairs among the sharers are made, and none are
    dropped, as all of them meet at the first document.
 3. Chains: links of a pair of documents that follow one another on a diagonal are segments; segments are chained in
    order in both documents, where a gap costs GAP_COST a word on either side. With that cost the best predecessor is a
@@ -77,21 +77,34 @@ def _code(text: str) -> bytes:
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, d, p): each one with the first of its h, unless that is of the same document."""
-    last = None
+    """Of rows sorted by (h, d, p): those of other documents than the first of their h, each with that document's occurrence of the same rank (or its last), and with its first.
+
+    A batch that goes on with the h of the one before is led by that h's occurrences in the first document and in the one that was cut.
+    """
+    lead = None
     for b in batches:
-        h, d, p = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        if not len(h):
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not len(cols[0]):
             continue
-        new = np.r_[last is None or last[0] != h[0], h[1:] != h[:-1]]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-        r, q = d[np.maximum(first, 0)], p[np.maximum(first, 0)]
-        if last is not None:
-            r, q = np.where(first < 0, last[1], r), np.where(first < 0, last[2], q)
-        last = h[-1], r[-1], q[-1]
-        keep = d != r
-        p, q = p[keep].astype(np.int32), q[keep].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d[keep], r[keep], p - q, p)], ["d", "r", "g", "p"])
+        skip = 0
+        if lead is not None and lead[0][0] == cols[0][0]:
+            skip = len(lead[0])
+            cols = [np.concatenate(x) for x in zip(lead, cols)]
+        h, d, p = cols
+        at = np.arange(len(h))
+        new_h = np.r_[True, h[1:] != h[:-1]]
+        new_d = new_h | np.r_[True, d[1:] != d[:-1]]
+        first, own = np.maximum.accumulate(np.where(new_h, at, 0)), np.maximum.accumulate(np.where(new_d, at, 0))
+        size = np.diff(np.r_[np.flatnonzero(new_d), len(h)])[(np.cumsum(new_d) - 1)[first]]  # how often the first document has this h
+        same = first + np.minimum(at - own, size - 1)
+        other = d != d[first]
+        lead = [np.concatenate([c[first[-1] : first[-1] + size[-1]], c[own[-1] :] if other[-1] else c[:0]]) for c in cols]
+        other[:skip] = False
+        x = np.flatnonzero(other)
+        y = x[same[x] != first[x]]
+        x, src = np.r_[x, y], np.r_[same[x], first[y]]
+        q, to = p[src].astype(np.int32), p[x].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (d[x], d[src], to - q, to)], ["d", "r", "g", "p"])
 
 
 class Fenwick:
