@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HEAD = re.compile(r"\s*([A-Za-z_][A-Za-z0-9_]*)\s*,\s*(plural|selectordinal|select)\s*,", re.I)
+_HEAD = re.compile(r"\s*([^\W\d]\w*)\s*,\s*(plural|selectordinal|select)\s*,", re.I | re.A)
+_BRANCH = re.compile(r"\s*(offset:\d+|=\d+|[^\W\d]\w*)\s*", re.A)
 _ARGUMENT = re.compile(r"\{\s*([A-Za-z0-9_]+)\s*\}")
 
 
@@ -35,7 +36,7 @@ def parse(text: str, path: str = "") -> tuple[list[dict], list[str]]:
         if head and head.end() <= end:
             branches, at = {}, head.end()
             while at < end:
-                m = re.compile(r"\s*(=\d+|[A-Za-z_][A-Za-z0-9_]*|offset:\d+)\s*").match(text, at)
+                m = _BRANCH.match(text, at)
                 if not m or m.end() > end:
                     if text[at:end].strip():
                         errors.append("bad_branch")

@@ -14,9 +14,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NAME = r"[A-Za-z0-9_]+"
-_STYLES = {"dollar_brace": rf"\$\{{({_NAME})\}}", "mustache": rf"\{{\{{({_NAME})\}}\}}", "brace": rf"\{{({_NAME})\}}", "printf": r"%(?:(\d+)\$)?(@|[sdfox])", "dollar_index": r"\$(\d+)", "colon": r":([A-Za-z_][A-Za-z0-9_]*)"}
+_STYLES = {"dollar_brace": rf"\$\{{({_NAME})\}}", "mustache": rf"\{{\{{({_NAME})\}}\}}", "brace": rf"\{{({_NAME})\}}", "printf": r"%(?:([0-9]+)\$)?([sdfox@])", "dollar_index": r"\$(\d+)", "colon": r"(?a::([^\W\d]\w*))"}
 _COMPILED = {k: re.compile(v) for k, v in _STYLES.items()}
-_ICU = re.compile(r"\{[^{}]+,\s*(?:selectordinal|plural|select)\s*,", re.I)
+_ICU = re.compile(r"(?i)[{][^{}]+,\s*(?:selectordinal|plural|select)\s*,")
 _SCHEME = re.compile(r"(?:^|[^A-Za-z0-9+.-])(?:https?|mailto|tel|ftp|file)$", re.I)
 SCHEMA = "array<struct<raw:string,style:string,canonical:string,start:int>>"
 
@@ -37,7 +37,8 @@ def tokens(text: str) -> list[tuple[str, str, str, int]]:
                 canonical = "$" + m[1]
             elif style == "colon":
                 before = text[a - 1] if a else ""
-                if before.isalnum() or before in ("/", "\\", "-", "`") and before or _SCHEME.search(text[max(0, a - 8) : a]) or text[z : z + 1] in ("/", "\\", "@") and text[z : z + 1]:
+                after = text[z : z + 1]
+                if before.isalnum() or (before and before in "-`/\\") or (after and after in "@/\\") or _SCHEME.search(text[max(0, a - 8) : a]):
                     continue
                 canonical = ":" + m[1]
             else:
@@ -82,7 +83,7 @@ def compare(en: Column, ar: Column) -> Column:
     gone, extra = _more(ec, ac), _more(ac, ec)
     styles = lambda items, v: F.array_sort(F.array_distinct(F.transform(F.filter(items, lambda x: x["canonical"] == v), lambda x: x["style"])))
     formats = F.array_sort(F.filter(F.array_intersect(ec, ac), lambda v: styles(en, v) != styles(ar, v)))
-    risky = F.exists(F.concat(es, as_), lambda s: s.isin("printf", "dollar_index", "brace", "dollar_brace", "mustache"))
+    risky = F.exists(F.concat(es, as_), lambda s: ~s.isin("colon", "icu_pound"))
     both = (F.size(en) > 0) & (F.size(ar) > 0)
     missing = ~renamed & ((F.size(gone) > 0) | (F.size(extra) > 0))
 

@@ -58,7 +58,7 @@ def has_icu(c: Column) -> Column:
 
 def is_technical(c: Column) -> Column:
     """URLs, addresses, paths, flags, code, commands and brands."""
-    patterns = [r"(?i)https?://\S+|www\.\S+", r"(?i)[\w.%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?!\w)", r"(^|[\s(])~?/[^\s]+", r"(?<![A-Za-z0-9_])[A-Za-z]:\\[^\s]+", r"(^|[\s(])--[A-Za-z0-9]", "`[^`]+`", r"(?U)(^|\s)(cargo|cat|cd|composer|git|ls|node|npm|npx|pip|pnpm|python|yarn)(?!\w)", r"(?U)(?<!\w)([a-z]+[A-Z]|iPhone|iPad|macOS|GitHub)"]
+    patterns = [r"(?i)https?://\S+|www\.\S+", r"(?i)[\w.%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?!\w)", r"(^|[(\s])~?/\S+", r"(?<!\w)[A-Za-z]:\\\S+", r"(^|[(\s])--\w", "`[^`]+`", r"(?U)(^|\s)(cargo|cat|cd|composer|git|ls|node|npm|npx|pip|pnpm|python|yarn)(?!\w)", r"(?U)(?<!\w)([a-z]+[A-Z]|iPhone|iPad|macOS|GitHub)"]
     return reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns]) | c.contains("://") | c.contains("\\")
 
 
@@ -96,11 +96,11 @@ def csv_guard(c: Column) -> Column:
 
 
 def camel_to_snake(c: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(c, "(.)([A-Z][a-z]+)", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
+    return F.lower(F.regexp_replace(F.regexp_replace(c, "(.)([A-Z][a-z][a-z]*)", "$1_$2"), "(?<=[0-9a-z])(?=[A-Z])", "_"))
 
 
 def key_tokens(c: Column) -> Column:
-    s = F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1_$2"), "[^A-Za-z0-9]+", "_")
+    s = F.regexp_replace(F.regexp_replace(c, "(?<=[a-z0-9])(?=[A-Z])", "_"), r"[\W_]+", "_")
     return F.filter(F.split(F.lower(s), "_"), lambda t: t != "")
 
 

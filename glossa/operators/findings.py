@@ -68,7 +68,7 @@ def source_status(found: DataFrame, sources: list[str]) -> DataFrame:
 def classification(source: Column, issue_type: Column, old: Column, new: Column, verified: Column | None = None) -> Column:
     """auto_safe or review_required."""
     small = tx.is_small_change(old, new)
-    spacing = ["whitespace", "spacing", "punctuation_spacing", "bracket_spacing", "slash_spacing"]
+    spacing = ["whitespace", "spacing", *(f"{x}_spacing" for x in ("punctuation", "bracket", "slash"))]
     safe = F.when(new == "", False)
     safe = safe.when(source == "locale_qc", issue_type.isin(spacing[:2]) | (issue_type.isin("style", "spelling", "capitalization") & small))
     safe = safe.when(source == "ar_locale_qc", issue_type.isin(spacing) | ((issue_type == "english_punctuation") & small))

@@ -12,8 +12,8 @@ from glossa.plans.registry import query
 
 _W = r"len(regexp_extract_all({c}, '[A-Za-z\x{{0600}}-\x{{06FF}}0-9]+'))"
 _STRIP = r"regexp_replace({c}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
-_TECH = r"""(regexp_matches({c}, '(?i)https?://\S+|www\.\S+') OR regexp_matches({c}, '(?i)[\w.%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}([^A-Za-z0-9_]|$)') OR regexp_matches({c}, '(^|[\s(])~?/[^\s]+')
- OR regexp_matches({c}, '(^|[^A-Za-z0-9_])[A-Za-z]:\\[^\s]+') OR regexp_matches({c}, '(^|[\s(])--[A-Za-z0-9]') OR regexp_matches({c}, '`[^`]+`')
+_TECH = r"""(regexp_matches({c}, '(?i)https?://\S+|www\.\S+') OR regexp_matches({c}, '(?i)[\w.%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}(\W|$)') OR regexp_matches({c}, '(^|[(\s])~?/[^\s]+')
+ OR regexp_matches({c}, '(^|[^A-Za-z0-9_])[A-Za-z]:\\[^\s]+') OR regexp_matches({c}, '(^|[(\s])--\w') OR regexp_matches({c}, '`[^`]+`')
  OR regexp_matches({c}, '(^|\s)(cargo|cat|cd|composer|git|ls|node|npm|npx|pip|pnpm|python|yarn)([^\p{{L}}\p{{N}}_]|$)')
  OR regexp_matches({c}, '(^|[^\p{{L}}\p{{N}}_])([a-z]+[A-Z]|iPhone|iPad|macOS|GitHub)') OR contains({c}, '://') OR contains({c}, '\'))"""
 
@@ -35,7 +35,7 @@ def shape(c: str) -> str:
     return rf"CASE WHEN {c} IS NULL OR {s} = '' THEN 'empty' WHEN {n_words(s)} >= 7 OR contains({s}, chr(10)) OR regexp_matches({s}, '[.!?؟]$') THEN 'sentence_like' WHEN {n_words(s)} BETWEEN 1 AND 3 THEN 'short_label' ELSE 'phrase' END"
 
 
-@query(rf"SELECT key, regexp_matches(en, '<[^>]+>') AS html, regexp_matches(en, '(?i)\{{[^{{}}]+,\s*(plural|select|selectordinal)\s*,') AS icu, {tech('en')} AS technical, regexp_matches(ar, '[\x{{0600}}-\x{{06FF}}]') AS arabic, ar IS NULL OR {strip('ar')} = '' AS blank, {shape('en')} AS shape FROM ({PAIRS})")
+@query(rf"SELECT key, regexp_matches(en, '<[^>]+>') AS html, regexp_matches(en, '(?i)\{{[^{{}}]+,\s*(selectordinal|plural|select)\s*,') AS icu, {tech('en')} AS technical, regexp_matches(ar, '[\x{{0600}}-\x{{06FF}}]') AS arabic, ar IS NULL OR {strip('ar')} = '' AS blank, {shape('en')} AS shape FROM ({PAIRS})")
 def text_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rows(spark, sf_dir, PAIRS)
     return d.select("key", tx.has_html(F.col("en")).alias("html"), tx.has_icu(F.col("en")).alias("icu"), tx.is_technical(F.col("en")).alias("technical"), tx.has_arabic(F.col("ar")).alias("arabic"), tx.is_blank(F.col("ar")).alias("blank"), tx.shape(F.col("en")).alias("shape"))
@@ -55,7 +55,7 @@ def string_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAME = "concat('screen', replace(p_type, ' ', ''), 'Of', replace(p_brand, '#', '_'))"
 
 
-@query(rf"SELECT p_partkey, lower(regexp_replace(regexp_replace({_NAME}, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake, array_to_string(list_filter(string_split(lower(regexp_replace(regexp_replace({_NAME}, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_'), lambda x: x <> ''), ' ') AS tokens FROM part")
+@query(rf"SELECT p_partkey, lower(regexp_replace(regexp_replace({_NAME}, '(.)([A-Z][a-z][a-z]*)', '\1_\2', 'g'), '([0-9a-z])([A-Z])', '\1_\2', 'g')) AS snake, array_to_string(list_filter(string_split(lower(regexp_replace(regexp_replace({_NAME}, '([0-9a-z])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_'), lambda x: x <> ''), ' ') AS tokens FROM part")
 def key_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.expr(_NAME)
     return table(spark, sf_dir, "part").select("p_partkey", tx.camel_to_snake(n).alias("snake"), F.array_join(tx.key_tokens(n), " ").alias("tokens"))
@@ -149,7 +149,7 @@ def arabic_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir, PAIRS).select("key", tx.normalize_arabic(c).alias("ar"), (tx.has_arabic(c) & tx.has_latin(c)).alias("mixed"))
 
 
-_TOKEN = r"\$\{\w+\}|\{\{\w+\}\}|\{\w+\}|%(?:\d+\$)?[@sdfox]|\$\d+|:[A-Za-z_]\w*"
+_TOKEN = r"\$\{\w+\}|\{\{\w+\}\}|\{\w+\}|%(?:[0-9]+\$)?[sdfox@]|:[A-Za-z_]\w*|\$[0-9]+"
 
 
 @query(rf"SELECT key, array_to_string(regexp_extract_all(en, '{_TOKEN}'), ' ') AS en, array_to_string(regexp_extract_all(ar, '{_TOKEN}'), ' ') AS ar FROM (SELECT key, coalesce(en, '') AS en, coalesce(ar, '') AS ar FROM ({PAIRS}))")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 ENTRIES = "locale string, key string, value string, value_type string, ord bigint, src_file string"
 FINDINGS = "source string, key string, locale string, issue_type string, severity string, message string, old string, new string, seq bigint"
 
-SEVERITIES = ("critical", "high", "medium", "low", "info")
+SEVERITIES = tuple("critical high medium low info".split())
 
 #: Severity by source and issue type; "*" is the source's default.
 SEVERITY = {

@@ -148,10 +148,11 @@ def read_code(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> Data
     return files.select("path", F.posexplode(F.split(text, "\r?\n")).alias("line", "code")).select("path", (F.col("line") + 1).alias("line"), "code")
 
 
-_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+OOXML = "http://schemas.openxmlformats.org"
+_NS = f"{{{OOXML}/spreadsheetml/2006/main}}"
 
 
-def parse_xlsx(data: bytes) -> list[dict[str, str]]:
+def parse_xlsx(data: bytes) -> list[dict]:
     """The rows of the first sheet by their header; short rows are filled with ''."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterable
 from xml.sax.saxutils import escape
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.text import csv_guard
-from glossa.sources.catalogs import column_name
+from glossa.sources.catalogs import OOXML, column_name
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -45,7 +46,7 @@ def php_document(pairs: Iterable[tuple[str, str]]) -> str:
         node[parts[-1]] = v
 
     def quote(s: str) -> str:
-        return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return "'" + re.sub(r"([\\'])", r"\\\1", s) + "'"
 
     def body(node: dict, depth: int) -> str:
         pad = "    " * depth
@@ -65,20 +66,32 @@ def catalog_php(entries: DataFrame) -> DataFrame:
     return d.groupBy("group").applyInPandas(one, "group string, document string")
 
 
+def _tag(name: str, inside: str = "", **attributes: str) -> str:
+    head = "".join(f' {k}="{v}"' for k, v in attributes.items())
+    return f"<{name}{head}>{inside}</{name}>" if inside else f"<{name}{head}/>"
+
+
 def xlsx_bytes(columns: list[str], rows: Iterable[Iterable[object]]) -> bytes:
     """A workbook of one sheet."""
     def cell(r: int, c: int, v: object) -> str:
         return f'<c r="{column_name(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>'
 
     lines = "".join(f'<row r="{r}">{"".join(cell(r, c, v) for c, v in enumerate(row))}</row>' for r, row in enumerate([columns, *rows], 1))
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kind = "application/vnd.openxmlformats-"
+    relations, main, link = f"{OOXML}/package/2006/relationships", f"{OOXML}/spreadsheetml/2006/main", f"{OOXML}/officeDocument/2006/relationships"
+
+    def relation(what: str, target: str) -> str:
+        return _tag("Relationships", _tag("Relationship", Id="r1", Type=f"{link}/{what}", Target=target), xmlns=relations)
+
+    office = f"{kind}officedocument.spreadsheetml."
+    types = _tag("Default", Extension="xml", ContentType="application/xml") + _tag("Default", Extension="rels", ContentType=f"{kind}package.relationships+xml")
+    types += _tag("Override", PartName="/xl/workbook.xml", ContentType=f"{office}sheet.main+xml") + _tag("Override", PartName="/xl/worksheets/sheet1.xml", ContentType=f"{office}worksheet+xml")
     parts = {
-        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
-        "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{lines}</sheetData></worksheet>',
+        "[Content_Types].xml": _tag("Types", types, xmlns=f"{OOXML}/package/2006/content-types"),
+        "_rels/.rels": relation("officeDocument", "xl/workbook.xml"),
+        "xl/workbook.xml": _tag("workbook", _tag("sheets", '<sheet name="Sheet1" sheetId="1" r:id="r1"/>'), xmlns=main, **{"xmlns:r": link}),
+        "xl/_rels/workbook.xml.rels": relation("worksheet", "worksheets/sheet1.xml"),
+        "xl/worksheets/sheet1.xml": _tag("worksheet", _tag("sheetData", lines), xmlns=main),
     }
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
