@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import cut
+from glossa.llm.common import cut, lean
 
 RATE, FRAME, HOP, SPAN, LATER = 4000, 512, 128, 16, 8
 ERRORS, OVERLAP, HITS = 0.2, 32, 2
@@ -118,7 +118,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """(id, print): four bytes for each window, the least first; null where there is none."""
     d = media.select(F.col(id_col).cast("bigint").alias("id"), F.col(media_col).cast("binary").alias("m")).where("id is not null")
-    return d.mapInArrow(_prints, "id bigint, print binary").groupBy("id").agg(F.min("print").alias("print"))
+    return d.mapInArrow(lean(_prints), "id bigint, print binary").groupBy("id").agg(F.min("print").alias("print"))
 
 
 _THREE = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)]
@@ -199,11 +199,11 @@ def align(media: DataFrame, id_col: str, media_col: str, errors: float = ERRORS,
     heads = prints.groupBy("print").agg(F.min("id").alias("id"))
     equal = prints.join(heads.withColumnRenamed("id", "head"), "print").where("id <> head").select(F.col("head").alias("id"), F.col("id").alias("other_id"), F.lit(0).alias("offset"), F.lit(None).cast("bigint").alias("hits"), (F.octet_length("print") / 4).cast("bigint").alias("overlap"), F.lit(0.0).alias("errors"))
     parts = int(media.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_keys = heads.select("id", "print").mapInArrow(_all_keys, "key bigint, id bigint, at int").repartition(parts, "key").sortWithinPartitions("key", "id", "at")
-    found = sorted_keys.mapInArrow(_pairs, "a bigint, b bigint, offset int").groupBy("a", "b", "offset").agg(F.count("*").alias("hits")).where(F.col("hits") >= hits)
+    sorted_keys = heads.select("id", "print").mapInArrow(lean(_all_keys), "key bigint, id bigint, at int").repartition(parts, "key").sortWithinPartitions("key", "id", "at")
+    found = sorted_keys.mapInArrow(lean(_pairs), "a bigint, b bigint, offset int").groupBy("a", "b", "offset").agg(F.count("*").alias("hits")).where(F.col("hits") >= hits)
     best = found.withColumn("k", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("hits"), F.abs("offset"), "offset"))).where("k = 1").drop("k")
     sides = best.join(heads.select(F.col("id").alias("a"), F.col("print").alias("p")), "a").join(heads.select(F.col("id").alias("b"), F.col("print").alias("q")), "b")
-    near = sides.mapInArrow(_errors, "id bigint, other_id bigint, offset int, hits bigint, overlap bigint, errors double")
+    near = sides.mapInArrow(lean(_errors), "id bigint, other_id bigint, offset int, hits bigint, overlap bigint, errors double")
     return near.where((F.col("overlap") >= overlap) & (F.col("errors") <= errors)).unionAll(equal)
 
 
@@ -235,4 +235,4 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, media): each vector as a recording."""
-    return vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_render, "id bigint, media binary")
+    return vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).mapInArrow(lean(_render), "id bigint, media binary")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import WORD, cut
+from glossa.llm.common import WORD, cut, lean
 
 TOP, K1, B = 10, 1.2, 0.75
 BLOCK, SHARD_POSTINGS, QUERY_BYTES = 64, 3_000_000, 8_000_000
@@ -177,7 +177,7 @@ def search(queries: DataFrame, docs: DataFrame, query_id: str = "item_id", query
         part = whole if groups == 1 else whole.where(F.pmod(F.xxhash64("q"), F.lit(groups)) == g)
         words = {r.q: Counter(WORD.findall(r.t.lower())) for r in part.collect()}  # bounded by QUERY_BYTES
         terms = {w: i for i, w in enumerate(sorted({w for c in words.values() for w in c}))}
-        index = cut(texts.mapInArrow(_postings(spark.sparkContext.broadcast(terms)), "d bigint, n bigint, terms array<int>, tfs array<int>"))
+        index = cut(texts.mapInArrow(lean(_postings(spark.sparkContext.broadcast(terms))), "d bigint, n bigint, terms array<int>, tfs array<int>"))
         count, total = index.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         df = np.zeros(len(terms))
         for r in index.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row a query term
@@ -186,7 +186,7 @@ def search(queries: DataFrame, docs: DataFrame, query_id: str = "item_id", query
         given = [(i, sorted((terms[w], n) for w, n in c.items())) for i, c in sorted(words.items()) if c]
         if not given or not total:
             continue
-        one = index.mapInArrow(_search(spark.sparkContext.broadcast((given, idf, total / count, k1, b)), top), "q bigint, d bigint, score double")
+        one = index.mapInArrow(lean(_search(spark.sparkContext.broadcast((given, idf, total / count, k1, b)), top)), "q bigint, d bigint, score double")
         found = one if found is None else found.unionAll(one)
     if found is None:
         found = spark.createDataFrame([], "q bigint, d bigint, score double")

@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossa.llm.common import lean
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 16_000_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -221,7 +223,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     with open(vocabulary, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = "doc_id bigint, n_tokens bigint, ids array<int>" + ", round_trip boolean" * check
-    return docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).mapInArrow(_encode(raw, check), schema)
+    return docs.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).alias("t")).mapInArrow(lean(_encode(raw, check)), schema)
 
 
 def decode_column(ids: str, spark, vocabulary: str = VOCABULARY):

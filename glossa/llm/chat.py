@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.llm.common import lean
+
 BUDGET, HISTORY, MARKS = 128, 32, 2
 _SCHEMA = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("first_turn", pa.int64()), ("last_turn", pa.int64()), ("n_history", pa.int64()), ("n_turns", pa.int64()), ("n_tokens", pa.int64()), ("n_targets", pa.int64()), ("targets", pa.string()), ("over", pa.bool_()), ("text", pa.string())])
 
@@ -78,7 +80,7 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     d = d.where("conv_id is not null").withColumn("n", n)
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "conv_id bigint, window bigint, first_turn bigint, last_turn bigint, n_history bigint, n_turns bigint, n_tokens bigint, n_targets bigint, targets string, over boolean, text string"
-    return d.repartition(parts, "conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text").mapInArrow(_format(budget, history), schema)
+    return d.repartition(parts, "conv_id").sortWithinPartitions("conv_id", F.asc_nulls_first("turn"), "role", "text").mapInArrow(lean(_format(budget, history)), schema)
 
 
 SQL = rf"""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import fresh
+from glossa.llm.common import fresh, lean
 
 UND = "und"
 HIDDEN = 8
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
                 found = _judge(held.value, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(found[k], t) for k, t in zip(names, types))], ["doc_id", *names])
 
-    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, "doc_id bigint, lang string, prob double, n_bytes bigint, share double")
+    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(lean(run), "doc_id bigint, lang string, prob double, n_bytes bigint, share double")
     return d.withColumn("accepted", F.coalesce((F.col("lang") != UND) & (F.col("prob") >= least), F.lit(False)))
 
 

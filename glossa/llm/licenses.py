@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import mix64, shingle_hashes, word_hashes
+from glossa.llm.common import lean, mix64, shingle_hashes, word_hashes
 
 WINDOW, STEP, BANDS, LEAST = 16, 4, 64, 0.8
 CHUNK = WINDOW - STEP
@@ -185,4 +185,4 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None, id_col: st
         raise ValueError("too many templates to broadcast: scan with parts of them and unite the results")
     library = docs.sparkSession.sparkContext.broadcast(Library(templates, bands))
     texts = docs.select(F.col(id_col).cast("bigint").alias("d"), F.col(text_col).cast("string").alias("t")).where("d is not null and t is not null")
-    return texts.mapInArrow(_scan(library, least), "doc_id bigint, template string, start_word bigint, end_word bigint, containment double")
+    return texts.mapInArrow(lean(_scan(library, least)), "doc_id bigint, template string, start_word bigint, end_word bigint, containment double")

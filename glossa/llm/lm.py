@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm import bpe
-from glossa.llm.common import cut
+from glossa.llm.common import cut, lean
 
 SYMBOLS, CLASSES, WIDTH, STRIDE, EVERY, ROUNDS = 2048, 64, 16, 16, 1024, 2
 _BATCH, _RATE, _PARAM_BLOCKS, _SCORED = 64, 0.01, 16, 4096
@@ -307,14 +307,14 @@ def fit(tokens: DataFrame, size: int, rounds: int = ROUNDS) -> tuple[Network, Ra
     sc = tokens.sparkSession.sparkContext
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = np.zeros(size, np.int64)
-    for r in tokens.select("ids").mapInArrow(_count(size), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most one row an id of the vocabulary
+    for r in tokens.select("ids").mapInArrow(lean(_count(size)), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most one row an id of the vocabulary
         counts[r.id] = r.n
     rank = Ranking(counts)
     net = Network(rank)
-    windows = cut(tokens.select("ids").mapInArrow(_windows(sc.broadcast((net, rank))), "s binary, y binary").repartition(parts))
+    windows = cut(tokens.select("ids").mapInArrow(lean(_windows(sc.broadcast((net, rank)))), "s binary, y binary").repartition(parts))
     for i in range(rounds):
-        trained = windows.mapInArrow(_train(sc.broadcast((net, rank)), _RATE / 2**i), "k bigint, w double, v array<double>")
-        mean = trained.repartition(min(parts, _PARAM_BLOCKS), "k").sortWithinPartitions("k", "w", "v").mapInArrow(_average, "k bigint, v array<double>").collect()
+        trained = windows.mapInArrow(lean(_train(sc.broadcast((net, rank)), _RATE / 2**i)), "k bigint, w double, v array<double>")
+        mean = trained.repartition(min(parts, _PARAM_BLOCKS), "k").sortWithinPartitions("k", "w", "v").mapInArrow(lean(_average), "k bigint, v array<double>").collect()
         if mean:
             net.take(np.concatenate([np.array(r.v) for r in sorted(mean, key=lambda r: r.k)]))
     return net, rank
@@ -340,7 +340,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
         raw = f.read()
     held = docs.sparkSession.sparkContext.broadcast(raw)
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    return d.mapInArrow(_tokenize(held), "doc_id bigint, ids binary"), len(bpe.Vocabulary(raw).sizes)
+    return d.mapInArrow(lean(_tokenize(held)), "doc_id bigint, ids binary"), len(bpe.Vocabulary(raw).sizes)
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = bpe.VOCABULARY) -> DataFrame:
@@ -348,4 +348,4 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens, size = tokenize(docs, id_col, text_col, vocabulary)
     tokens = cut(tokens)
     given = docs.sparkSession.sparkContext.broadcast(fit(tokens, size))
-    return tokens.mapInArrow(_score(given), "doc_id bigint, n_tokens bigint, nll double, bits double")
+    return tokens.mapInArrow(lean(_score(given)), "doc_id bigint, n_tokens bigint, nll double, bits double")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import components, cut, mix64, shingle_hashes, word_hashes
+from glossa.llm.common import components, cut, lean, mix64, shingle_hashes, word_hashes
 
 K = 9
 VERIFY = 17
@@ -67,7 +67,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, f, g) for each row that has an id and words."""
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null").mapInArrow(_fingerprints, "id bigint, f bigint, g bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null").mapInArrow(lean(_fingerprints), "id bigint, f bigint, g bigint")
 
 
 def _pieces() -> list[int]:
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in _pieces()]
     key = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("f").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("key")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = heads.select(key, "f", "g", F.col("head").alias("id")).repartition(parts, "key").mapInArrow(_search(k, verify), "a bigint, b bigint")
+    pairs = heads.select(key, "f", "g", F.col("head").alias("id")).repartition(parts, "key").mapInArrow(lean(_search(k, verify)), "a bigint, b bigint")
     groups = components(copies.unionAll(pairs))
     root = F.coalesce("root", "id")
     return ids.join(groups, ids.id == groups.node, "left").select(F.col("id").alias("doc_id"), root.alias("group_id"), (root == F.col("id")).alias("keep"))

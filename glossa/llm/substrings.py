@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import WORD, fresh, shingle_hashes, word_hashes
+from glossa.llm.common import WORD, fresh, lean, shingle_hashes, word_hashes
 
 K, WINDOW = 6, 10
 MIN_WORDS, IDENTITY = 50, 0.75
@@ -299,10 +299,10 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("d"), F.col(text_col).cast("string").alias("t")).where("d is not null and t is not null")
-    seeds = texts.mapInArrow(_seeds(k, window), "h bigint, d bigint, p int")
-    links = seeds.repartition(parts, "h").sortWithinPartitions("h", "d", "p").mapInArrow(_link, "d bigint, r bigint, g int, p int")
-    chains = links.repartition(parts, "d").sortWithinPartitions("d", "r", "g", "p").mapInArrow(_chains(k, window, LEAST_SPAN), "d bigint, r bigint, segments array<int>")
-    codes = texts.mapInArrow(_codes, "d bigint, codes binary").groupBy("d").agg(F.min("codes").alias("codes"))
+    seeds = texts.mapInArrow(lean(_seeds(k, window)), "h bigint, d bigint, p int")
+    links = seeds.repartition(parts, "h").sortWithinPartitions("h", "d", "p").mapInArrow(lean(_link), "d bigint, r bigint, g int, p int")
+    chains = links.repartition(parts, "d").sortWithinPartitions("d", "r", "g", "p").mapInArrow(lean(_chains(k, window, LEAST_SPAN)), "d bigint, r bigint, segments array<int>")
+    codes = texts.mapInArrow(lean(_codes), "d bigint, codes binary").groupBy("d").agg(F.min("codes").alias("codes"))
 
     def around(first: str, last: str) -> tuple[Column, Column]:
         start = F.greatest(F.expr(first) - _EDGE, F.lit(0))
@@ -312,7 +312,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     one = chains.join(codes, "d").select("d", "r", "segments", a0.alias("a0"), a.alias("a"), F.crc32("codes").alias("sig"))
     b0, b = around("element_at(segments, 3)", "element_at(segments, -1)")
     sides = one.join(codes.select(F.col("d").alias("r"), "codes"), "r").select("d", "r", "segments", "a0", "a", b0.alias("b0"), b.alias("b"), "sig")
-    found = sides.mapInArrow(_align(identity), "d bigint, r bigint, x0 bigint, x1 bigint, y0 bigint, y1 bigint, matches bigint, sig bigint")
+    found = sides.mapInArrow(lean(_align(identity)), "d bigint, r bigint, x0 bigint, x1 bigint, y0 bigint, y1 bigint, matches bigint, sig bigint")
     by = Window.partitionBy("d").orderBy("x0", "x1", "r", "y0", "y1")
     reach = F.max("x1").over(by.rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("reach", reach).withColumn("island", F.sum((F.col("reach").isNull() | (F.col("x0") > F.col("reach") + 1)).cast("int")).over(by))
