@@ -10,11 +10,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package's code to the Python workers, once for each application."""
+    """Sends this package's code to the Python workers, once for each application, and bounds the batches that they get."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "67108864b":  # Spark's own default: texts and media come many megabytes a batch, and are held more than once
+        spark.conf.set(_BATCH, "16m")
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         buf = io.BytesIO()
