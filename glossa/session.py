@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -13,6 +14,20 @@ _shipped: set[str] = set()
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def _put(spark: SparkSession, data: bytes) -> str:
+    """The URI of a new file with data: in the folder of spark.checkpoint.dir, or, where that is unset, in a temporary one of the driver's."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        path = Path(tempfile.mkdtemp(prefix="glossa-code-")) / "glossa.zip"
+        path.write_bytes(data)
+        return str(path)
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/code-{uuid.uuid4().hex}/glossa.zip")
+    stream = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(name)
+    stream.write(bytearray(data))
+    stream.close()
+    return str(name)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package's code to the Python workers, once for each application, and bounds the batches that they get."""
     sc = spark.sparkContext
@@ -24,8 +39,6 @@ def ship(spark: SparkSession) -> SparkSession:
         with zipfile.ZipFile(buf, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, str(p.relative_to(root.parent)))
-        path = Path(tempfile.mkdtemp(prefix="glossa-code-")) / "glossa.zip"  # the driver's; Spark serves it to the executors
-        path.write_bytes(buf.getvalue())
-        sc.addPyFile(str(path))
+        sc.addPyFile(_put(spark, buf.getvalue()))
         _shipped.add(sc.applicationId)
     return spark
