@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from glossa.llm.common import components, cut, lean, mix64, shingle_hashes, word_hashes
 
 K = 9
-VERIFY = 17
+VERIFY = 15
 PARTS, SUB = 5, 4
 _LEAF, _TOP = 8, 64
 _FRONT = 2_000_000
