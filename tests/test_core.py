@@ -212,3 +212,21 @@ def test_queries_equal_their_sql(spark):
         a = sorted(tuple(_norm(row[c]) for c in names) for row in got.collect())
         assert a == sorted(tuple(map(_norm, row)) for row in r.fetchall()), name
     assert math.isfinite(len(q))
+
+
+def test_reports(spark):
+    from glossa.operators import reports as rp
+
+    assert rp.repair_json('```json\n{"a": [1, 2\n```') == {"a": [1, 2]} and rp.repair_json('x {"a": "b"} y') == {"a": "b"} and rp.repair_json("no") is None
+    assert one(spark, rp.distinct_notes(F.col("a")), a="x | y | x |  | z") == "x | y | z"
+    d = spark.createDataFrame([("k", "Api URL", "grammar", "low", "locale_qc"), ("a_btn", "x", "capitalization", "low", "locale_qc"), ("k2", "x", "style", "info", "ai_review"), ("k3", None, "style", "info", "locale_qc")], "key string, old string, issue_type string, severity string, source string")
+    assert [r.key for r in rp.suppress_noise(d).collect()] == ["k2"]
+
+
+def test_queue(spark):
+    from glossa.operators import queue as qu
+
+    d = lambda a, b: one(spark, qu.resolve_candidate(F.col("a"), F.col("b")), a=a, b=b).decision
+    assert d("API key", "Api key") == "veto" and d("PayTabs", "Pay Tabs") == "veto"
+    assert d("Submit your form", "Send your document") == "suggested_fix" and d("Hello  world", "Hello world") == "suggested_fix"
+    assert d("<b>x</b>", "x") == "conflict" and d("x", "") == "none" and d("x", "x more") == "veto"
