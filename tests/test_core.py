@@ -230,3 +230,44 @@ def test_queue(spark):
     assert d("API key", "Api key") == "veto" and d("PayTabs", "Pay Tabs") == "veto"
     assert d("Submit your form", "Send your document") == "suggested_fix" and d("Hello  world", "Hello world") == "suggested_fix"
     assert d("<b>x</b>", "x") == "conflict" and d("x", "") == "none" and d("x", "x more") == "veto"
+
+
+class Flaky:
+    def __init__(self):
+        self.calls = 0
+
+    def review(self, items):
+        self.calls += 1
+        if self.calls == 1:
+            raise TimeoutError
+        return [{"key": x["key"], "suggestion": "ok"} for x in items if x["key"] != "never"]
+
+
+class Broken:
+    def review(self, items):
+        raise ConnectionError
+
+
+def test_provider(spark):
+    from glossa.operators import provider as pv
+
+    d = spark.createDataFrame([("a", "x"), ("never", "y")], "key string, source string").coalesce(1)
+    assert {tuple(r) for r in pv.review(d, Flaky()).collect()} == {("a", "ok", None), ("never", None, "no_answer")}
+    assert {r.error for r in pv.review(d, Broken(), size=1).collect()} == {"circuit_open"}
+    assert {r.suggestion for r in pv.review(d, pv.Mock()).collect()} == {"[x]", "[y]"}
+
+
+def test_audit(spark, tmp_path):
+    from glossa.plans.audit import run_audit
+
+    en = {"home": {"title": "Hello {name}", "x": "Contact with us", "same": "Same"}, "only": "Only here", "gone": "text"}
+    ar = {"home": {"title": "مرحبا", "x": "اتصل", "same": "Same"}, "gone": " "}
+    (tmp_path / "en.json").write_text(json.dumps(en))
+    (tmp_path / "ar.json").write_text(json.dumps(ar))
+    (tmp_path / "code").mkdir()
+    (tmp_path / "code" / "a.dart").write_text("'home.title'.tr 'nowhere'.tr")
+    out = run_audit(spark, str(tmp_path / "en.json"), str(tmp_path / "ar.json"), code_path=str(tmp_path / "code"))
+    got = {(r.key, r.issue_type, r.severity) for r in out["findings"].collect()}
+    assert {("home.title", "missing_in_ar", "high"), ("home.x", "grammar", "medium"), ("home.same", "identical_translation", "info"), ("only", "in_en_not_ar", "medium"), ("gone", "empty_ar", "high"), ("nowhere", "missing_in_both", "critical"), ("home.x", "confirmed_unused_key", "low")} <= got
+    assert out["summary"].where("dimension = 'total'").first().n == len(got)
+    assert out["plan"].count() >= 1
