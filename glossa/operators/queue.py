@@ -14,7 +14,7 @@ HINTS = {
     "dialog_title": "dialog_title alert_title modal_title", "dialog_body": "dialog_body dialog_message alert_message modal_body", "notification_title": "notification_title", "notification_body": "notification_body push_body",
     "snackbar": "snackbar toast flash_message", "button": "button btn cta submit save cancel", "subtitle": "subtitle sub_title caption", "title": "title heading header", "helper_text": "helper hint instruction details description note", "form_label": "label field name",
 }
-PROTECTED = r"^([A-Z]{2,}|[a-z]+[A-Z]\w*|[A-Z][a-z]+[A-Z]\w*)$"
+PROTECTED = r"^([A-Z]{2,}|[A-Z]?[a-z]+[A-Z]\w*)$"
 
 
 def text_type(key: Column, value: Column) -> Column:
@@ -31,7 +31,7 @@ def text_type(key: Column, value: Column) -> Column:
 
 def technical_key(key: Column) -> Column:
     k = F.lower(key)
-    starts = reduce(lambda a, b: a | b, [k.startswith(p) for p in ("config", "setup", "uuid", "error_code", "zone")])
+    starts = reduce(lambda a, b: a | b, [k.startswith(p) for p in ("zone", "error_code", "uuid", "setup", "config")])
     return starts | k.contains("_id") | k.contains("_url") | k.rlike("[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 
 

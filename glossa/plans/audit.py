@@ -51,7 +51,7 @@ def findings(pairs: DataFrame, glossary: DataFrame | None = None, used: DataFram
     return fi.dedupe(fi.normalize(found))
 
 
-def run_audit(spark: SparkSession, en_path: str, ar_path: str, fmt: str = "json", code_path: str | None = None, suffixes: tuple[str, ...] = (".dart", ".php", ".js", ".jsx", ".ts", ".tsx", ".vue"), glossary_path: str | None = None) -> dict[str, DataFrame]:
+def run_audit(spark: SparkSession, en_path: str, ar_path: str, fmt: str = "json", code_path: str | None = None, suffixes: tuple[str, ...] = (".vue", ".tsx", ".php", ".jsx", ".dart", ".ts", ".js"), glossary_path: str | None = None) -> dict[str, DataFrame]:
     """findings, summary and plan of a project's files."""
     en, ar = ca.read_catalog(spark, en_path, "en", fmt), ca.read_catalog(spark, ar_path, "ar", fmt)
     text = lambda d, n: d.where("value_type = 'string'").select("key", F.col("value").alias(n))

@@ -30,8 +30,8 @@ def one(spark, column, **values):
 
 
 def test_placeholder_tokens():
-    raw = [t[0] for t in ph.tokens("Hello %@ %1$s $1 {0} {{username}} ${value} {user}")]
-    assert raw == ["%@", "%1$s", "$1", "{0}", "{{username}}", "${value}", "{user}"]
+    raw = [t[0] for t in ph.tokens("{user} has {0}, ${value}; {{username}}: $1 or %1$s, %@")]
+    assert raw == ["{user}", "{0}", "${value}", "{{username}}", "$1", "%1$s", "%@"]
     assert [t[0] for t in ph.tokens("see https://x.org:80/a a:b :id mailto:joe")] == [":id"]
     assert [t[0] for t in ph.tokens("{n, plural, other {# of {m}}}")] == ["#", "{m}"]
 
@@ -162,7 +162,7 @@ def test_csv(spark, tmp_path):
 
 
 def test_glossary_file(spark, tmp_path):
-    (tmp_path / "g.json").write_text(json.dumps({"terms": [{"term_en": "Driver", "approved_ar": "سائق", "forbidden_ar": ["شوفير"]}, {"x": 1}], "rules": {"forbidden_terms": [{"forbidden_ar": "a", "use_instead": "b"}]}}))
+    (tmp_path / "g.json").write_text(json.dumps({"rules": {"forbidden_terms": [dict(use_instead="b", forbidden_ar="a")]}, "terms": [{"x": 1}, dict(forbidden_ar=["شوفير"], approved_ar="سائق", term_en="Driver")]}))
     terms, rules = ca.read_glossary(spark, str(tmp_path / "g.json"))
     assert terms.count() == 1 and rules.first().use_instead == "b"
 
