@@ -33,7 +33,7 @@ HIDDEN = 8
 SEGMENT = 128
 BATCH = 4096
 SAMPLE_ROWS = 400
-LEAST = 0.4
+LEAST = 0.3
 _PAD = 256
 
 
