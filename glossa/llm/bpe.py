@@ -32,7 +32,7 @@ from glossa.llm.common import lean
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 5_000_000
 _NONE = np.int32(2**31 - 1)
 
 
