@@ -253,6 +253,13 @@ def test_lm_gradients_and_gain(vocab):
     assert abs(total - lm.score(net, rank, d, np.array([len(d)]))[0]) < 1e-2 * len(d) ** 0.5
 
 
+def test_lm_training_windows_of_long_texts(vocab):
+    ids = np.arange(20_000) % len(vocab.sizes)
+    rank = lm.Ranking(np.bincount(ids, minlength=len(vocab.sizes)))
+    s, y = lm.training_windows(lm.Network(rank), rank, ids, 1)
+    assert len(s) == len(y) >= 1 + len(ids) // 512
+
+
 def test_lm_odd(spark):
     got = {(r.doc_id, r.n_tokens) for r in lm.score_corpus(docs(spark, ODD)).where("doc_id < 3").collect()}
     assert got == {(1, None), (2, 0)}
