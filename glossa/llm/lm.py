@@ -4,9 +4,8 @@
 2. All ids of the corpus are counted. Ids are ranked by count; ranks from SYMBOLS on share one input symbol. The ranking is also cut into CLASSES
    classes of about the same mass, and p(id | context) = p(class | context) * p(id | class), the latter by the counts
    of the whole corpus plus one.
-3. Training: each text gives one window and another for each EVERY of its ids, at places drawn by hash, so what is learnt from
-   grows with the corpus and has a part of each document. The windows are spread over the tasks; in each of ROUNDS rounds every task trains
-   a copy of the network on its windows (Adam, backpropagation), and the copies are averaged, weighted by their windows, by a
+3. Training: windows of 2 * STRIDE inputs tile each text, so each id is a target once a round. In each of ROUNDS rounds every task trains
+   a copy of the network on the windows of its texts (Adam, backpropagation), and the copies are averaged, weighted by their windows, by a
    shuffle of parameter blocks. The driver gets one network.
 4. Scoring: windows of 2 * STRIDE inputs begin every STRIDE ids, and score their last STRIDE ids; so each id is scored once and
    sees STRIDE to 2 * STRIDE - 1 ids before it, or all if there are fewer. Windows of many texts are run as one batch with a mask.
@@ -27,14 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm import bpe
 from glossa.llm.common import cut, lean
 
-SYMBOLS, CLASSES, WIDTH, STRIDE, EVERY, ROUNDS = 2048, 64, 16, 16, 512, 2
+SYMBOLS, CLASSES, WIDTH, STRIDE, ROUNDS = 2048, 64, 16, 16, 2
 _BATCH, _RATE, _PARAM_BLOCKS, _SCORED = 64, 0.01, 16, 4096
 _TEXT_BYTES, _ID_BYTES = 12_000_000, 1_000_000
 _SAFE = 60.0  # logits up to here need no shift before the exponential
@@ -116,8 +114,8 @@ class Network:
         g["K"], g["V"] = np.tensordot(x, dk, ((0, 1), (0, 1))), np.tensordot(x, dv, ((0, 1), (0, 1)))
         dx = dk @ p["K"].T + dv @ p["V"].T
         dx[:, h:] += do + dq @ p["Q"].T
-        g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], s.ravel(), dx.reshape(-1, self.width))
+        cell = s.reshape(-1, 1) * self.width + np.arange(self.width)
+        g["E"] = np.bincount(cell.ravel(), dx.ravel(), p["E"].size).reshape(p["E"].shape).astype(p["E"].dtype)
         return float(loss), g
 
     def train(self, s: np.ndarray, y: np.ndarray, rate: float = _RATE, seed: int = 1) -> None:
@@ -127,7 +125,7 @@ class Network:
         steps = -(-len(s) // _BATCH)
         for i in range(steps):
             t = order[i * _BATCH : (i + 1) * _BATCH]
-            _, grad = self.loss(s[t], y[t])
+            _, grad = self.loss(s[t].astype(np.int64), y[t])
             r = rate * (1 - 0.8 * i / steps)
             for k, q in grad.items():
                 m[k] += 0.1 * (q - m[k])
@@ -198,16 +196,13 @@ def score(net: Network, rank: Ranking, ids: np.ndarray, size: np.ndarray) -> np.
     return out - np.bincount(np.repeat(np.arange(len(size)), size), rank.given[ids], len(size))
 
 
-def training_windows(net: Network, rank: Ranking, ids: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and classes of the windows that a text gives to training."""
-    size = np.array([len(ids)])
-    flat, start, _ = layout(net, rank.symbol[ids], size)
-    count = 1 + len(ids) // EVERY
-    pick = np.array([xxhash.xxh64_intdigest(f"{salt}-{i}") % len(start) for i in range(count)])
-    s = flat[start[pick, None] + np.arange(2 * net.stride)]
-    at = pick[:, None] * net.stride + np.arange(net.stride)
-    y = np.where(at < len(ids), rank.cls[ids[np.minimum(at, len(ids) - 1)]], -1)
-    return s, y
+def training_windows(net: Network, rank: Ranking, ids: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and classes of all windows of a text, which has one id at least; each id is a target once. salt has no effect, as nothing is drawn."""
+    h = net.stride
+    flat, start, _ = layout(net, rank.symbol[ids], np.array([len(ids)]))
+    y = np.full(len(start) * h, -1, np.int16)
+    y[: len(ids)] = rank.cls[ids]
+    return np.lib.stride_tricks.sliding_window_view(flat.astype(np.int16), 2 * h)[start], y.reshape(-1, h)
 
 
 def _tokenize(raw):
@@ -255,35 +250,18 @@ def _count(size: int):
     return run
 
 
-def _windows(given):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, rank = given.value
-        for b in batches:
-            ss, ys = [], []
-            for ids in _ids(b):
-                if ids is not None and len(ids):
-                    s, y = training_windows(net, rank, ids, xxhash.xxh64_intdigest(ids.tobytes()))
-                    ss += [x.astype("<i2").tobytes() for x in s]
-                    ys += [x.astype("<i2").tobytes() for x in y]
-            yield pa.RecordBatch.from_arrays([pa.array(ss, pa.binary()), pa.array(ys, pa.binary())], ["s", "y"])
-
-    return run
-
-
 def _train(given, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, _ = given.value
-        s, y = [], []
-        for b in batches:
-            s.append(np.frombuffer(b"".join(b.column(0).to_pylist()), "<i2"))
-            y.append(np.frombuffer(b"".join(b.column(1).to_pylist()), "<i2"))
-        s, y = (np.concatenate([np.zeros(0, "<i2"), *x]).astype(np.int64) for x in (s, y))
-        if not len(s):
+        net, rank = given.value
+        found = [training_windows(net, rank, ids) for b in batches for ids in _ids(b) if ids is not None and len(ids)]
+        if not found:
             return
+        s, y = (np.concatenate(x) for x in zip(*found))
+        found.clear()
         own = Network.__new__(Network)
         own.__dict__ = net.__dict__ | {"p": {k: v.copy() for k, v in net.p.items()}}
-        own.train(s.reshape(-1, 2 * net.stride), y.reshape(-1, net.stride), rate)
-        w, v = len(s) // (2 * net.stride), own.vector().astype(float)
+        own.train(s, y, rate)
+        w, v = len(s), own.vector().astype(float)
         parts = np.array_split(v * w, _PARAM_BLOCKS)
         yield pa.RecordBatch.from_arrays([pa.array(range(_PARAM_BLOCKS), pa.int64()), pa.array([float(w)] * _PARAM_BLOCKS), pa.array([x.tolist() for x in parts], pa.list_(pa.float64()))], ["k", "w", "v"])
 
@@ -311,9 +289,8 @@ def fit(tokens: DataFrame, size: int, rounds: int = ROUNDS) -> tuple[Network, Ra
         counts[r.id] = r.n
     rank = Ranking(counts)
     net = Network(rank)
-    windows = cut(tokens.select("ids").mapInArrow(lean(_windows(sc.broadcast((net, rank)))), "s binary, y binary").repartition(parts))
     for i in range(rounds):
-        trained = windows.mapInArrow(lean(_train(sc.broadcast((net, rank)), _RATE / 2**i)), "k bigint, w double, v array<double>")
+        trained = tokens.select("ids").mapInArrow(lean(_train(sc.broadcast((net, rank)), _RATE / 2**i)), "k bigint, w double, v array<double>")
         mean = trained.repartition(min(parts, _PARAM_BLOCKS), "k").sortWithinPartitions("k", "w", "v").mapInArrow(lean(_average), "k bigint, v array<double>").collect()
         if mean:
             net.take(np.concatenate([np.array(r.v) for r in sorted(mean, key=lambda r: r.k)]))

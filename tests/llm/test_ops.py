@@ -260,6 +260,19 @@ def test_lm_training_windows_of_long_texts(vocab):
     assert len(s) == len(y) >= 1 + len(ids) // 512
 
 
+def test_lm_trains_on_every_id(vocab):
+    rng = np.random.default_rng(3)
+    for n in (1, 15, 16, 17, 3000):
+        ids = rng.integers(0, len(vocab.sizes), n)
+        rank = lm.Ranking(np.bincount(ids, minlength=len(vocab.sizes)))
+        net = lm.Network(rank)
+        s, y = lm.training_windows(net, rank, ids, 1)
+        assert y[y >= 0].tolist() == rank.cls[ids].tolist()
+        before = np.r_[net.begin, rank.symbol[ids][:-1]]
+        assert s[:, net.stride :][y >= 0].tolist() == before.tolist()
+        assert len(s) == 1 or s[1:, : net.stride].tolist() == s[:-1, net.stride :].tolist()
+
+
 def test_lm_odd(spark):
     got = {(r.doc_id, r.n_tokens) for r in lm.score_corpus(docs(spark, ODD)).where("doc_id < 3").collect()}
     assert got == {(1, None), (2, 0)}
