@@ -9,7 +9,7 @@
    order in both documents, where a gap costs GAP_COST a word on either side. With that cost the best predecessor is a
    prefix maximum, kept in a Fenwick tree.
 4. Alignment: chains fetch the word codes around them, gaps are aligned by longest common subsequence and ends are extended
-   until mismatches outweigh matches. A chain with at least ``identity`` matching words is a fuzzy repeat.
+   until mismatches outweigh matches, where they weigh as little as the identity allows. A chain with at least ``identity`` matching words is a fuzzy repeat.
 5. Repeats of a document that overlap or touch are one passage, which counts if it has ``min_words`` words.
 
 Edge cases: a null text, an empty one or one of fewer than K words has no seeds and no passages. Rows without an id are
@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from glossa.llm.common import WORD, fresh, lean, shingle_hashes, word_hashes
 
-K, WINDOW = 6, 10
+K, WINDOW = 6, 1
 MIN_WORDS, IDENTITY = 50, 0.75
-GAP_COST, MAX_GAP, LEAST_SPAN = 0.25, 40, 12
-_SLACK, _EDGE = K, 64
+GAP_COST, MAX_GAP, LEAST_SPAN = 0.25, 40, 8
+_SLACK, _EDGE = 6, 64
+_COSTS = (1, 2, 3)  # of a mismatch, in matches, where ends are extended
 
 
 def _minimizers(h: np.ndarray, window: int) -> np.ndarray:
@@ -234,17 +235,17 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _reach(same: np.ndarray) -> int:
-    """How far to go while a match gives 1 and a mismatch takes 2; the matches up to there outweigh all else."""
+def _reach(same: np.ndarray, cost: int) -> int:
+    """How far to go while a match gives 1 and a mismatch takes ``cost``: to the last place up to which matches weigh as much as all else."""
     if not len(same):
         return 0
-    s = np.cumsum(np.where(same, 1, -2))
-    i = int(s.argmax())
-    return i + 1 if s[i] > 0 else 0
+    s = np.cumsum(np.where(same, 1, -cost))
+    i = len(s) - 1 - int(s[::-1].argmax())
+    return i + 1 if s[i] >= 0 and same[i] else 0
 
 
-def align(segments: list[int], a: np.ndarray, a0: int, b: np.ndarray, b0: int) -> tuple[int, int, int, int, int]:
-    """(x0, x1, y0, y1, matches) of a chain; a and b are the codes from the places a0 and b0 on."""
+def align(segments: list[int], a: np.ndarray, a0: int, b: np.ndarray, b0: int, identity: float = IDENTITY) -> tuple[int, int, int, int, int]:
+    """(x0, x1, y0, y1, matches) of a chain; a and b are the codes from the places a0 and b0 on. The ends go as far as leaves ``identity``, by the least of _COSTS that does."""
     it = [segments[i : i + 4] for i in range(0, len(segments), 4)]
     matches, x, y = 0, it[0][0], it[0][2]
     for x0, x1, y0, y1 in it:
@@ -256,17 +257,24 @@ def align(segments: list[int], a: np.ndarray, a0: int, b: np.ndarray, b0: int) -
         n = min(len(s), len(t))
         matches += int((s[:n] == t[:n]).sum())
         x, y = max(x, x1), max(y, y1)
-    x0, y0 = it[0][0], it[0][2]
+    for cost in _COSTS:
+        found = _extend(it[0][0], x, it[0][2], y, matches, a, a0, b, b0, cost)
+        if found[4] >= identity * max(found[1] - found[0], found[3] - found[2]):
+            break
+    return found
+
+
+def _extend(x0: int, x: int, y0: int, y: int, matches: int, a: np.ndarray, a0: int, b: np.ndarray, b0: int, cost: int) -> tuple[int, int, int, int, int]:
     while n := min(_EDGE, x0 - a0, y0 - b0):
         same = (a[x0 - a0 - n : x0 - a0] == b[y0 - b0 - n : y0 - b0])[::-1]
-        step = _reach(same)
+        step = _reach(same, cost)
         matches += int(same[:step].sum())
         x0, y0 = x0 - step, y0 - step
         if step < n:
             break
     while (n := min(_EDGE, a0 + len(a) - x, b0 + len(b) - y)) > 0:
         same = a[x - a0 : x - a0 + n] == b[y - b0 : y - b0 + n]
-        step = _reach(same)
+        step = _reach(same, cost)
         matches += int(same[:step].sum())
         x, y = x + step, y + step
         if step < n:
@@ -283,7 +291,7 @@ def _align(identity: float):
             for d, r, seg, a0, a, b0, b, sig in zip(*(c.to_pylist() for c in batch.columns)):
                 a, b = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
                 if seg[-3] <= a0 + len(a) and seg[-1] <= b0 + len(b):  # else of a row with this id but another text
-                    x0, x1, y0, y1, m = align(seg, a, a0, b, b0)
+                    x0, x1, y0, y1, m = align(seg, a, a0, b, b0, identity)
                     if m >= identity * max(x1 - x0, y1 - y0):
                         rows.append((d, r, x0, x1, y0, y1, m, sig))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [()] * 8)], names)

@@ -331,6 +331,27 @@ def test_passages(spark, corpus):
     assert 118 <= len(left) <= 124 and left[:55] == corpus[161][1].split()[:55]
 
 
+def test_passages_recall(spark):
+    """Of passages with an aligned run of at least 50 words and identity 0.75, bounded by matches, at least 0.9 are found at each length and rate of edits."""
+    rng = np.random.default_rng(11)
+    word = lambda n: rng.integers(0, 3000, n)
+    rows, grade = [], {}
+    for words, edits in ((50, 0.03), (60, 0.05), (60, 0.08), (60, 0.1), (80, 0.08), (80, 0.1), (100, 0.12)):
+        for _ in range(60):
+            p = word(words)
+            a, b = (np.where(rng.random(words) < edits, word(words), p) for _ in range(2))
+            at = np.flatnonzero(a == b)
+            if any(j - i + 1 >= substrings.MIN_WORDS and (y - x + 1) >= substrings.IDENTITY * (j - i + 1) for x, i in enumerate(at) for y, j in enumerate(at)):
+                for body in (a, b):
+                    rows.append((len(rows), " ".join(f"w{x}" for x in np.r_[word(70), body, word(80)]), "a"))
+                grade[len(rows) - 1] = words, edits
+    found = {r.doc_id for r in substrings.passages(docs(spark, rows)).collect() if r.doc_id == r.other_id + 1 and r.passage_start < 70 + 25 and r.passage_end > 70 + 25}
+    assert found <= grade.keys()
+    for g in set(grade.values()):
+        own = [d for d in grade if grade[d] == g]
+        assert len(found & set(own)) >= 0.9 * len(own), g
+
+
 def test_links_over_batches():
     import pyarrow as pa
 
