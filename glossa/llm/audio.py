@@ -5,32 +5,39 @@ norm 1. Over the frames a table of sums (integral image) is made, so that any re
 compares the parts of a window of frames and pitch classes, and its value is cut at three thresholds into a 2-bit Gray code. 16 codes pack into one
 32-bit integer for each window.
 
-A window's keys are three of the four bytes of its integer and three of those of the integer LATER windows on, in eight choices. The places where
-two recordings agree in a key go into a histogram of their differences; the fullest offset (then the least) is taken if it has HITS keys, and there the bits that differ are counted over the whole overlap. A pair
-is a match with at most ``errors`` of the bits wrong over at least ``overlap`` windows. Recordings with equal fingerprints are folded first: each
-is listed with the least id of them, and only that one is matched with others.
+A place's keys are two of the four bytes of its integer and the same two of the integer LATER windows on, in six choices. Where two recordings agree in a
+key, the integers at CONTEXT beside it are compared, and if at most SLACK * ``errors`` of their bits differ, the place enters the pair's histogram of offsets. At each offset
+of the histogram the bits that differ are counted over the whole overlap; the offset with the least share is taken (then that with most places, then the least). A pair
+is a match with at most ``errors`` of the bits wrong over at least ``overlap`` windows. Recordings with equal fingerprints are folded first, and only the least id of
+them is matched with others. Keys are counted in BINS bins before the join; those of a bin of more than HOT places are spread over cells of pairs of salts, so
+that every pair still meets, in one cell, and no cell holds many more than twice HOT places.
 
 Edge cases: null, empty or undecodable bytes, and recordings shorter than one window, have a null fingerprint and no
-match. Rows without an id are left out. Rows that repeat an id are one recording: that with the least bytes of fingerprint. Silence has a fingerprint
-of its own kind and matches silence. Long recordings are read whole. Other columns are not read. An empty table gives an
+match, but a row of their own. Rows without an id are left out. Rows that repeat an id are one recording: that with the least bytes of fingerprint. Silence has a fingerprint
+of its own kind and matches silence. Long recordings are read whole, a run of frames at a time. Other columns are not read. An empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import cut, lean
+from glossa.llm.common import components, cut, lean, mix64
 
-RATE, FRAME, HOP, SPAN, LATER = 4000, 512, 128, 16, 8
-ERRORS, OVERLAP, HITS = 0.2, 32, 2
+RATE, FRAME, HOP, SPAN, LATER = 4000, 512, 128, 16, 16
+ERRORS, OVERLAP = 0.2, 32
+CONTEXT = np.arange(0, 32, 4)
+BINS, HOT = 1 << 20, 8192
+SLACK = 1.2
+_RUN, _SLICE, _AT_ONCE = 2048, 256, 400_000
 _NOTE = 256
 _EPS = 0.05
 #: kind, lowest pitch class, pitch classes, frames: kinds compare 0 halves by pitch, 1 halves by time, 2 quarters crosswise, 3 the middle third by pitch, 4 the middle third by time.
@@ -48,8 +55,8 @@ def decode(data: bytes | None) -> tuple[np.ndarray, int] | None:
             if w.getsampwidth() != 2:
                 return None
             x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(1) / 32768
-            return x, w.getframerate()
-    except (wave.Error, EOFError, ValueError):
+            return (x, w.getframerate()) if w.getframerate() > 0 else None
+    except (wave.Error, EOFError, ValueError, struct.error):
         return None
 
 
@@ -59,15 +66,15 @@ def chroma(x: np.ndarray, rate: int) -> np.ndarray:
     if len(x) < frame:
         return np.zeros((0, 12))
     windows = np.lib.stride_tricks.sliding_window_view(x, frame)[::hop]
-    power = np.abs(np.fft.rfft(windows * np.hanning(frame), axis=1)) ** 2
-    f = np.arange(power.shape[1]) * rate / frame
+    f = np.arange(frame // 2 + 1) * rate / frame
     use = (f > 100) & (f < 1800)
     pitch = 12 * np.log2(np.maximum(f[use], 1) / 440) + 69
     low = np.floor(pitch)
     share = np.zeros((use.sum(), 12))
     np.add.at(share, (np.arange(use.sum()), low.astype(int) % 12), 1 - (pitch - low))
     np.add.at(share, (np.arange(use.sum()), (low.astype(int) + 1) % 12), pitch - low)
-    c = np.sqrt(power[:, use] @ share)
+    taper = np.hanning(frame)
+    c = np.concatenate([np.sqrt(np.abs(np.fft.rfft(windows[i : i + _RUN] * taper, axis=1)[:, use]) ** 2 @ share) for i in range(0, len(windows), _RUN)])
     norm = np.linalg.norm(c, axis=1, keepdims=True)
     return np.where(norm > 1e-3, c / np.maximum(norm, 1e-9), 0)
 
@@ -121,90 +128,189 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return d.mapInArrow(lean(_prints), "id bigint, print binary").groupBy("id").agg(F.min("print").alias("print"))
 
 
-_THREE = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3)]
-_CHOICES = [(_THREE[i], _THREE[j]) for i in range(4) for j in (i, (i + 1) % 4)]
+_TWO = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 
 
 def keys(f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each choice of bytes the keys of the windows, and their places; of equal neighbours the first."""
-    def pick(x: np.ndarray, some: tuple[int, ...]) -> np.ndarray:
-        return sum((x >> 8 * b & 0xFF) << 8 * n for n, b in enumerate(some))
-
+    """For each choice of bytes the keys of the places that have their whole context, and these places; of equal neighbours the first."""
+    n = len(f) - int(CONTEXT[-1])
     f = f.astype(np.int64)
-    if len(f) > LATER:
-        for j, (one, two) in enumerate(_CHOICES):
-            k = j << 48 | pick(f[:-LATER], one) << 24 | pick(f[LATER:], two)
+    if n > 0:
+        for j, (a, b) in enumerate(_TWO):
+            half = (f >> 8 * a & 0xFF) << 8 | f >> 8 * b & 0xFF
+            k = j << 32 | half[:n] << 16 | half[LATER : LATER + n]
             at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             yield k[at], at
 
 
-def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, id, place, context) of a few recordings at a time."""
+    for s in range(0, b.num_rows, _SLICE):
+        part = b.slice(s, _SLICE)
+        found: list[tuple] = []
+        for i, p in zip(part.column(0).to_pylist(), part.column(1)):
+            f = np.frombuffer(p.as_py(), "<u4")
+            for k, at in keys(f):
+                found.append((k, np.full(len(at), i), at.astype(np.int32), f[at[:, None] + CONTEXT]))
+        if found:
+            yield tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _bin(key: np.ndarray) -> np.ndarray:
+    return (mix64(key.view(np.uint64)) % np.uint64(BINS)).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(BINS, np.int64)
     for b in batches:
-        ids, found, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        for i, p in zip(b.column(0).to_pylist(), b.column(1)):
-            for k, at in keys(np.frombuffer(p.as_py(), "<u4")):
-                ids.append(np.full(len(at), i))
-                found.append(k)
-                places.append(at.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, ids, places)], ["key", "id", "at"])
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, id, at): all pairs of one key and two ids. Keys go on over batches; a key's pairs are given in pieces."""
-    def pairs(k: np.ndarray, i: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
-        end = np.searchsorted(k, k, "right")
-        n = end - np.arange(len(k)) - 1
+        for k, *_ in _places(b):
+            np.add.at(n, _bin(k), 1)
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["bin", "n"])
+
+
+def _cells(given):
+    """Rows (cell, side, id, at, context). A key of a bin with one salt is one cell, of side 2; else a place with salt r goes to the cells (r, c) of all salts c,
+    and a cell of two salts joins places of different sides only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = np.ones(BINS, np.int64)
+        for k, n in given.value:
+            salts[k] = n
+        for b in batches:
+            for k, i, at, context in _places(b):
+                n = salts[_bin(k)]
+                row = np.repeat(np.arange(len(k)), n)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                own = (mix64(i.view(np.uint64)).astype(np.uint64) % n.astype(np.uint64)).astype(np.int64)[row]
+                cell = mix64((k[row] ^ np.minimum(own, other) << 36 ^ np.maximum(own, other) << 50).view(np.uint64)).view(np.int64)
+                side = np.where(own == other, 2, own > other).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(side), pa.array(i[row]), pa.array(at[row]), _binary(context[row])], ["cell", "side", "id", "at", "context"])
+
+    return run
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    data = np.ascontiguousarray(rows.astype("<u4"))
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer((np.arange(len(data) + 1) * 4 * len(CONTEXT)).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _pairs(errors: float):
+    """Of rows sorted by cell: (a, b, offset, hits) of the pairs of one cell whose contexts agree. Cells go on over batches."""
+
+    def joined(cell: np.ndarray, side: np.ndarray, i: np.ndarray, t: np.ndarray, context: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        n = np.searchsorted(cell, cell, "right") - np.arange(len(cell)) - 1
         edge = np.cumsum(n)
         row = 0
-        while row < len(k):
-            upto = max(row + 1, int(np.searchsorted(edge, (edge[row - 1] if row else 0) + 500_000, "right")))
+        while row < len(cell):
+            upto = max(row + 1, int(np.searchsorted(edge, (edge[row - 1] if row else 0) + _AT_ONCE, "right")))
             m = n[row:upto]
             a = np.repeat(np.arange(row, upto), m)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
-            other = i[a] != i[b]
-            a, b = a[other], b[other]
+            ok = (i[a] != i[b]) & ((side[a] != side[b]) | (side[a] == 2))
+            a, b = a[ok], b[ok]
+            ok = np.bitwise_count(context[a] ^ context[b]).sum(1, dtype=np.int64) <= SLACK * errors * 64 * context.shape[1]
+            a, b = a[ok], b[ok]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(i[b]), pa.array(t[a] - t[b])], ["a", "b", "offset"])
+                turn = i[a] > i[b]
+                a, b = np.where(turn, b, a), np.where(turn, a, b)
+                yield i[a], i[b], t[a] - t[b]
             row = upto
 
-    held = None
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+    def counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, b, o = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((o, b, a))
+        a, b, o = a[order], b[order], o[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (o[1:] != o[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(o[first].astype(np.int32)), pa.array(np.diff(np.r_[first, len(a)]))], ["a", "b", "offset", "hits"])
+
+    def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        held = None
+        for batch in batches:
+            for s in range(0, batch.num_rows, _AT_ONCE):
+                part = batch.slice(s, _AT_ONCE)
+                cols = [c.to_numpy(zero_copy_only=False) for c in part.columns[:4]]
+                cols.append(np.frombuffer(b"".join(part.column(4).to_pylist()), "<u8").reshape(-1, len(CONTEXT) // 2))
+                if held is not None:
+                    cols = [np.concatenate(x) for x in zip(held, cols)]
+                upto = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+                yield tuple(c[:upto] for c in cols)
+                held = [c[upto:] for c in cols]
         if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
-        upto = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-        yield from pairs(*(c[:upto] for c in cols))
-        held = [c[upto:] for c in cols]
-    if held is not None:
-        yield from pairs(*held)
-
-
-def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n, e = [], []
-        for offset, p, q in zip(*(b.column(c).to_pylist() for c in ("offset", "p", "q"))):
-            p, q = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
-            lo, hi = max(0, offset), min(len(p), len(q) + offset)
-            n.append(max(0, hi - lo))
-            e.append(int(np.bitwise_count(p[lo:hi] ^ q[lo - offset : hi - offset]).sum()) if hi > lo else 0)
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "offset", "hits")), pa.array(n, pa.int64()), pa.array([x / max(1, 32 * m) for x, m in zip(e, n)], pa.float64())], ["id", "other_id", "offset", "hits", "overlap", "errors"])
-
-
-def align(media: DataFrame, id_col: str, media_col: str, errors: float = ERRORS, overlap: int = OVERLAP, hits: int = HITS) -> DataFrame:
-    """(id, other_id, offset, hits, overlap, errors), id < other_id: window t of id sounds like window t - offset of other_id.
-
-    hits: keys that agree at this offset, at least ``hits``; null for equal fingerprints. errors: the share of differing bits.
+            yield tuple(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for cols in whole_cells(batches):
+            for x in joined(*cols):
+                held.append(x)
+                n += len(x[0])
+                if n >= _AT_ONCE:
+                    yield counted(held)
+                    held, n = [], 0
+        if held:
+            yield counted(held)
+
+    return run
+
+
+def _verify(least: int):
+    """Of (a, b, places, p, q) the best offset with an overlap of ``least`` windows: by share of differing bits, then by places, then by distance."""
+
+    def best(places: list[dict], p: np.ndarray, q: np.ndarray) -> tuple:
+        hits: dict[int, int] = {}
+        for x in places:
+            hits[x["offset"]] = hits.get(x["offset"], 0) + x["hits"]
+        tried = []
+        for o, h in hits.items():
+            lo, hi = max(0, o), min(len(p), len(q) + o)
+            if hi - lo >= least:
+                tried.append((int(np.bitwise_count(p[lo:hi] ^ q[lo - o : hi - o]).sum()) / (32 * (hi - lo)), -h, abs(o), o, hi - lo))
+        return min(tried, default=(None, 0, 0, 0, 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [best(places, np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")) for places, p, q in zip(*(b.column(c).to_pylist() for c in ("places", "p", "q")))]
+            e, h, _, o, n = zip(*out) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(o, pa.int32()), pa.array([-x for x in h], pa.int64()), pa.array(n, pa.int64()), pa.array(e, pa.float64())], ["id", "other_id", "offset", "hits", "overlap", "errors"])
+
+    return run
+
+
+def pairs(heads: DataFrame, errors: float = ERRORS, overlap: int = OVERLAP) -> DataFrame:
+    """(id, other_id, offset, hits, overlap, errors), id < other_id, of heads (id, print) with distinct ids and prints: window t of id sounds like window t - offset of other_id.
+
+    hits: places in the histogram at this offset. errors: the share of differing bits.
+    """
+    spark = heads.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prints = heads.select("id", "print")
+    bins = prints.mapInArrow(lean(_count), "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
+    given = spark.sparkContext.broadcast([(r.bin, -(-r.n // HOT)) for r in bins.collect()])  # BINS rows at most
+    cells = prints.mapInArrow(lean(_cells(given)), "cell bigint, side tinyint, id bigint, at int, context binary").repartition(parts, "cell").sortWithinPartitions("cell")
+    found = cells.mapInArrow(lean(_pairs(errors)), "a bigint, b bigint, offset int, hits bigint").groupBy("a", "b").agg(F.collect_list(F.struct("offset", "hits")).alias("places"))
+    sides = found.join(prints.select(F.col("id").alias("a"), F.col("print").alias("p")), "a").join(prints.select(F.col("id").alias("b"), F.col("print").alias("q")), "b")
+    near = sides.select("a", "b", "places", "p", "q").mapInArrow(lean(_verify(overlap)), "id bigint, other_id bigint, offset int, hits bigint, overlap bigint, errors double")
+    return near.where(F.col("errors") <= errors)
+
+
+def align(media: DataFrame, id_col: str, media_col: str, errors: float = ERRORS, overlap: int = OVERLAP) -> DataFrame:
+    """One row for each id: (id, group_id, copies, links, nearest_id, offset, overlap, errors).
+
+    group_id: the least id of the recordings that matches and copies lead to. copies: other recordings with an equal fingerprint. links: other fingerprints that
+    match. nearest_id: of the match with the least errors (then the least id) the least id, with its offset, overlap and errors; null without one.
     """
-    prints = cut(fingerprints(media, id_col, media_col).where("print is not null"))
-    heads = prints.groupBy("print").agg(F.min("id").alias("id"))
-    equal = prints.join(heads.withColumnRenamed("id", "head"), "print").where("id <> head").select(F.col("head").alias("id"), F.col("id").alias("other_id"), F.lit(0).alias("offset"), F.lit(None).cast("bigint").alias("hits"), (F.octet_length("print") / 4).cast("bigint").alias("overlap"), F.lit(0.0).alias("errors"))
-    parts = int(media.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_keys = heads.select("id", "print").mapInArrow(lean(_all_keys), "key bigint, id bigint, at int").repartition(parts, "key").sortWithinPartitions("key", "id", "at")
-    found = sorted_keys.mapInArrow(lean(_pairs), "a bigint, b bigint, offset int").groupBy("a", "b", "offset").agg(F.count("*").alias("hits")).where(F.col("hits") >= hits)
-    best = found.withColumn("k", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("hits"), F.abs("offset"), "offset"))).where("k = 1").drop("k")
-    sides = best.join(heads.select(F.col("id").alias("a"), F.col("print").alias("p")), "a").join(heads.select(F.col("id").alias("b"), F.col("print").alias("q")), "b")
-    near = sides.mapInArrow(lean(_errors), "id bigint, other_id bigint, offset int, hits bigint, overlap bigint, errors double")
-    return near.where((F.col("overlap") >= overlap) & (F.col("errors") <= errors)).unionAll(equal)
+    prints = cut(fingerprints(media, id_col, media_col))
+    heads = cut(prints.where("print is not null").groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    near = cut(pairs(heads, errors, overlap))
+    member = prints.join(heads.select("print", F.col("id").alias("head"), "n"), "print", "left").select("id", F.coalesce("head", "id").alias("head"), (F.coalesce("n", F.lit(1)) - 1).alias("copies"))
+    cols = ["offset", "overlap", "errors"]
+    both = near.select("id", "other_id", *cols).unionAll(near.select("other_id", "id", -F.col("offset"), "overlap", "errors"))
+    best = both.groupBy("id").agg(F.count("*").alias("links"), F.min(F.struct("errors", "other_id", "offset", "overlap")).alias("b"))
+    groups = components(near.select(F.col("id").alias("a"), F.col("other_id").alias("b")))
+    of_head = best.join(groups, best.id == groups.node).select(F.col("id").alias("head"), "root", "links", F.col("b.other_id").alias("nearest_id"), *(F.col(f"b.{c}").alias(c) for c in cols))
+    out = member.join(of_head, "head", "left")
+    return out.select("id", F.coalesce("root", "head").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "nearest_id", *cols)
 
 
 def render(values: np.ndarray) -> bytes:

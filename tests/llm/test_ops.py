@@ -384,32 +384,79 @@ def test_passages_odd(spark):
 # 6
 
 
-def test_audio(spark):
+def _bit_errors(p, q):
+    """The least share of differing bits over all offsets with enough overlap."""
+    best = 1.0
+    for off in range(audio.OVERLAP - len(q), len(p) - audio.OVERLAP + 1):
+        x, y = p[max(0, off) :], q[max(0, -off) :]
+        n = min(len(x), len(y))
+        if n >= audio.OVERLAP:
+            best = min(best, np.bitwise_count(x[:n] ^ y[:n]).sum() / 32 / n)
+    return best
+
+
+def _recordings():
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 64))
     near = base[:12] + rng.normal(size=(12, 64)) * 0.05
     late = np.concatenate([rng.normal(size=(6, 16)), base[:6, :48]], 1)
     rows = [(i, audio.render(v)) for i, v in enumerate(np.concatenate([base, near, late]))]
-    rows += [(100, rows[3][1]), (101, rows[3][1]), (102, None), (103, b""), (104, b"junk"), (None, rows[0][1]), (105, rows[0][1][:400]), (50, rows[50][1])]
-    got = {(r.id, r.other_id): r for r in audio.align(spark.createDataFrame(rows, "id bigint, media binary"), "id", "media").collect()}
-    prints = {i: audio.fingerprint(audio.chroma(*x)) for i, m in rows if i is not None and i < 58 and (x := audio.decode(m))}
-    want = set()
-    for i in prints:
-        for j in prints:
-            if i < j:
-                best = 1.0
-                for off in range(-78, 79):
-                    p, q = prints[i][max(0, off) :], prints[j][max(0, -off) :]
-                    n = min(len(p), len(q))
-                    if n >= audio.OVERLAP:
-                        best = min(best, np.bitwise_count(p[:n] ^ q[:n]).sum() / 32 / n)
-                if best <= audio.ERRORS:
-                    want.add((i, j))
-    plain = {k for k in got if max(k) < 58}
-    assert len(plain & want) >= 0.9 * len(want) and plain <= want and len(want) >= 18
-    assert (3, 100) in got and (3, 101) in got and got[3, 100].errors == 0
-    assert not {102, 103, 104, 105} & {x for k in got for x in k}
-    assert audio.align(spark.createDataFrame([], "id bigint, media binary"), "id", "media").count() == 0
+    rows += [(60 + k, audio.render(np.r_[base[20], rng.normal(size=k)])) for k in (9, 8, 30)]
+    rows += [(70 + k, audio.render(np.zeros(24 + 3 * k))) for k in range(10)]  # constant tones of different lengths
+    rows += [(80, audio.render(rng.normal(size=3000)))]
+    rows += [(81, audio.render(np.r_[base[21], rng.normal(size=2000), base[22]]))]
+    return rows
+
+
+@pytest.mark.parametrize("hot", [8192, 5])
+def test_audio(spark, monkeypatch, hot):
+    monkeypatch.setattr(audio, "HOT", hot)
+    rows = _recordings()
+    copies = [(100, rows[3][1]), (101, rows[3][1]), (102, None), (103, b""), (104, b"junk"), (None, rows[0][1]), (105, rows[0][1][:400]), (50, rows[50][1]), (2, rows[1][1][:700])]
+    d = spark.createDataFrame([(i, m, "x", 1) for i, m in rows + copies], "id bigint, media binary, print string, head int")
+    out = {r.id: r for r in audio.align(d, "id", "media").collect()}
+    prints = {i: audio.fingerprint(audio.chroma(*audio.decode(m))) for i, m in rows}
+    folded = {}
+    for i, p in prints.items():
+        folded.setdefault(p.tobytes(), i)
+    heads = sorted(folded.values())
+    want = {(i, j) for n, i in enumerate(heads) for j in heads[n + 1 :] if _bit_errors(prints[i], prints[j]) <= audio.ERRORS}
+    table = spark.createDataFrame([(i, prints[i].astype("<u4").tobytes()) for i in heads], "id bigint, print binary")
+    got = {(r.id, r.other_id): r for r in audio.pairs(table).collect()}
+    assert got.keys() <= want and len(got) >= 0.9 * len(want) and len(want) >= 60
+    for (i, j), r in got.items():
+        x, y = prints[i][max(0, r.offset) :], prints[j][max(0, -r.offset) :]
+        n = min(len(x), len(y))
+        assert r.overlap == n and r.errors == np.bitwise_count(x[:n] ^ y[:n]).sum() / 32 / n
+    assert len(out) == len({i for i, _ in rows + copies if i is not None})
+    for i in heads:
+        links = [j for pair in got if i in pair for j in pair if j != i]
+        assert out[i].links == len(links) and (out[i].nearest_id in links if links else out[i].nearest_id is None)
+        assert all(out[j].group_id == out[i].group_id for j in links)
+    assert out[3].copies == out[100].copies == out[101].copies == 2 and out[101].group_id == out[3].group_id and out[100].links == out[3].links
+    assert all(out[i].links == 0 and out[i].copies == 0 and out[i].group_id == i for i in (102, 103, 104, 105))
+    assert audio.align(d.limit(0), "id", "media").count() == 0
+
+
+def test_audio_same_under_salting(spark, monkeypatch):
+    d = spark.createDataFrame(_recordings(), "id bigint, media binary")
+    one = sorted(map(tuple, audio.align(d, "id", "media").collect()), key=str)
+    monkeypatch.setattr(audio, "HOT", 3)
+    monkeypatch.setattr(audio, "_AT_ONCE", 50)
+    assert sorted(map(tuple, audio.align(d.repartition(5), "id", "media").collect()), key=str) == one
+
+
+def test_audio_recall_by_noise(spark):
+    """Of pairs within ERRORS, noise graded from none to beyond it, 0.9 are found, and 0.95 of those within 0.15."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(300, 64))
+    noisy = base + rng.normal(size=base.shape) * rng.uniform(0.02, 0.4, 300)[:, None]
+    prints = [audio.fingerprint(audio.chroma(*audio.decode(audio.render(v)))) for v in np.concatenate([base, noisy])]
+    share = np.array([_bit_errors(prints[i], prints[300 + i]) for i in range(300)])
+    table = spark.createDataFrame([(i, p.astype("<u4").tobytes()) for i, p in enumerate(prints)], "id bigint, print binary")
+    got = {r.id for r in audio.pairs(table).collect() if r.other_id == r.id + 300}
+    found = np.array([i in got for i in range(300)])
+    assert found[share <= 0.15].mean() >= 0.95 and found[share <= audio.ERRORS].mean() >= 0.9 and (share <= audio.ERRORS).sum() > 100
 
 
 # 7
