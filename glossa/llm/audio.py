@@ -30,16 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import components, cut, lean, mix64
+from glossa.llm.common import components, cut, free, lean, mix64
 
 RATE, FRAME, HOP, SPAN, LATER = 4000, 512, 128, 16, 16
 ERRORS, OVERLAP = 0.2, 32
-CONTEXT = np.arange(0, 32, 4)
+CONTEXT = np.array([4, 8, 12, 20, 24, 28])
 BINS, HOT = 1 << 20, 8192
-SLACK = 1.2
+SLACK = 1.25
 _RUN, _SLICE, _AT_ONCE = 2048, 256, 400_000
 _NOTE = 256
 _EPS = 0.05
+_PLACE = np.dtype([("id", "<i8"), ("at", "<i4"), ("side", "<i4"), ("context", "<u4", (len(CONTEXT),))])
 #: kind, lowest pitch class, pitch classes, frames: kinds compare 0 halves by pitch, 1 halves by time, 2 quarters crosswise, 3 the middle third by pitch, 4 the middle third by time.
 _FILTERS = [(0, 0, 12, 16), (0, 0, 6, 16), (0, 6, 6, 16), (0, 3, 6, 12), (1, 0, 4, 16), (1, 4, 4, 16), (1, 8, 4, 16), (1, 0, 12, 8), (2, 0, 6, 16), (2, 6, 6, 16), (2, 3, 6, 12), (3, 0, 6, 16), (3, 6, 6, 16), (3, 3, 9, 16), (4, 0, 6, 15), (4, 6, 6, 15)]
 _CUTS = np.array([-0.35, 0.0, 0.35])
@@ -170,7 +171,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(given):
-    """Rows (cell, side, id, at, context). A key of a bin with one salt is one cell, of side 2; else a place with salt r goes to the cells (r, c) of all salts c,
+    """Rows (cell, place). A key of a bin with one salt is one cell, of side 2; else a place with salt r goes to the cells (r, c) of all salts c,
     and a cell of two salts joins places of different sides only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,20 +184,18 @@ def _cells(given):
                 row = np.repeat(np.arange(len(k)), n)
                 other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 own = (mix64(i.view(np.uint64)).astype(np.uint64) % n.astype(np.uint64)).astype(np.int64)[row]
-                cell = mix64((k[row] ^ np.minimum(own, other) << 36 ^ np.maximum(own, other) << 50).view(np.uint64)).view(np.int64)
-                side = np.where(own == other, 2, own > other).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(side), pa.array(i[row]), pa.array(at[row]), _binary(context[row])], ["cell", "side", "id", "at", "context"])
+                pair = mix64((np.minimum(own, other) << 32 | np.maximum(own, other)).view(np.uint64)).view(np.int64)
+                cell = k[row] ^ np.where(n[row] > 1, pair << 36, 0)
+                data = np.empty(len(row), _PLACE)
+                data["id"], data["at"], data["side"], data["context"] = i[row], at[row], np.where(own == other, 2, own > other), context[row]
+                ends = pa.py_buffer((np.arange(len(row) + 1) * _PLACE.itemsize).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.Array.from_buffers(pa.binary(), len(row), [None, ends, pa.py_buffer(data)])], ["cell", "place"])
 
     return run
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    data = np.ascontiguousarray(rows.astype("<u4"))
-    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer((np.arange(len(data) + 1) * 4 * len(CONTEXT)).astype(np.int32)), pa.py_buffer(data)])
-
-
 def _pairs(errors: float):
-    """Of rows sorted by cell: (a, b, offset, hits) of the pairs of one cell whose contexts agree. Cells go on over batches."""
+    """Of rows sorted by cell: (a, b, entry), entry being offset * 2**32 + hits, of the pairs of one cell whose contexts agree. Cells go on over batches."""
 
     def joined(cell: np.ndarray, side: np.ndarray, i: np.ndarray, t: np.ndarray, context: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         n = np.searchsorted(cell, cell, "right") - np.arange(len(cell)) - 1
@@ -222,15 +221,15 @@ def _pairs(errors: float):
         order = np.lexsort((o, b, a))
         a, b, o = a[order], b[order], o[order]
         first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (o[1:] != o[:-1])])
-        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(o[first].astype(np.int32)), pa.array(np.diff(np.r_[first, len(a)]))], ["a", "b", "offset", "hits"])
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array((o[first].astype(np.int64) << 32) + np.diff(np.r_[first, len(a)]))], ["a", "b", "entry"])
 
     def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         held = None
         for batch in batches:
             for s in range(0, batch.num_rows, _AT_ONCE):
                 part = batch.slice(s, _AT_ONCE)
-                cols = [c.to_numpy(zero_copy_only=False) for c in part.columns[:4]]
-                cols.append(np.frombuffer(b"".join(part.column(4).to_pylist()), "<u8").reshape(-1, len(CONTEXT) // 2))
+                places = np.frombuffer(b"".join(part.column(1).to_pylist()), _PLACE)
+                cols = [part.column(0).to_numpy(), *(np.ascontiguousarray(places[x]) for x in ("side", "id", "at")), np.ascontiguousarray(places["context"]).view("<u8")]
                 if held is not None:
                     cols = [np.concatenate(x) for x in zip(held, cols)]
                 upto = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
@@ -257,10 +256,10 @@ def _pairs(errors: float):
 def _verify(least: int):
     """Of (a, b, places, p, q) the best offset with an overlap of ``least`` windows: by share of differing bits, then by places, then by distance."""
 
-    def best(places: list[dict], p: np.ndarray, q: np.ndarray) -> tuple:
+    def best(places: list[int], p: np.ndarray, q: np.ndarray) -> tuple:
         hits: dict[int, int] = {}
         for x in places:
-            hits[x["offset"]] = hits.get(x["offset"], 0) + x["hits"]
+            hits[x >> 32] = hits.get(x >> 32, 0) + (x & 0xFFFFFFFF)
         tried = []
         for o, h in hits.items():
             lo, hi = max(0, o), min(len(p), len(q) + o)
@@ -277,18 +276,24 @@ def _verify(least: int):
     return run
 
 
+def _candidates(prints: DataFrame, errors: float) -> DataFrame:
+    """(a, b, places): the histogram of each pair, an entry being offset * 2**32 + hits."""
+    spark = prints.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bins = prints.mapInArrow(lean(_count), "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
+    given = spark.sparkContext.broadcast([(r.bin, -(-r.n // HOT)) for r in bins.collect()])  # BINS rows at most
+    cells = prints.mapInArrow(lean(_cells(given)), "cell bigint, place binary").repartition(parts, "cell").sortWithinPartitions("cell")
+    return cut(cells.mapInArrow(lean(_pairs(errors)), "a bigint, b bigint, entry bigint").groupBy("a", "b").agg(F.collect_list("entry").alias("places")))
+
+
 def pairs(heads: DataFrame, errors: float = ERRORS, overlap: int = OVERLAP) -> DataFrame:
     """(id, other_id, offset, hits, overlap, errors), id < other_id, of heads (id, print) with distinct ids and prints: window t of id sounds like window t - offset of other_id.
 
     hits: places in the histogram at this offset. errors: the share of differing bits.
     """
-    spark = heads.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     prints = heads.select("id", "print")
-    bins = prints.mapInArrow(lean(_count), "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
-    given = spark.sparkContext.broadcast([(r.bin, -(-r.n // HOT)) for r in bins.collect()])  # BINS rows at most
-    cells = prints.mapInArrow(lean(_cells(given)), "cell bigint, side tinyint, id bigint, at int, context binary").repartition(parts, "cell").sortWithinPartitions("cell")
-    found = cells.mapInArrow(lean(_pairs(errors)), "a bigint, b bigint, offset int, hits bigint").groupBy("a", "b").agg(F.collect_list(F.struct("offset", "hits")).alias("places"))
+    found = _candidates(prints, errors)
+    free(heads.sparkSession)
     sides = found.join(prints.select(F.col("id").alias("a"), F.col("print").alias("p")), "a").join(prints.select(F.col("id").alias("b"), F.col("print").alias("q")), "b")
     near = sides.select("a", "b", "places", "p", "q").mapInArrow(lean(_verify(overlap)), "id bigint, other_id bigint, offset int, hits bigint, overlap bigint, errors double")
     return near.where(F.col("errors") <= errors)

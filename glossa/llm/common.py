@@ -118,6 +118,12 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the table of a cut() that nothing reads any more."""
     path = getattr(df, "_glossa_cut", None)
