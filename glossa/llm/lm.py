@@ -1,22 +1,22 @@
 """Language-model scores: causal self-attention over subword ids, trained in numpy.
 
 1. Every text is encoded (glossa.llm.bpe); the ids are written to the shared folder, two bytes each.
-2. All ids of the corpus are counted. Ids are ranked by count; ranks from SYMBOLS on share one input symbol. The ranking is also cut into CLASSES
-   classes of about the same mass, and p(id | context) = p(class | context) * p(id | class), the latter by the counts
-   of the whole corpus plus one.
-3. Training: windows of 2 * STRIDE inputs tile each text, so each id is a target once a round. In each of ROUNDS rounds every task trains
-   a copy of the network on the windows of its texts (Adam, backpropagation), and the copies are averaged, weighted by their windows, by a
-   shuffle of parameter blocks. The driver gets one network.
+2. All ids of the corpus are counted and ranked by count; ranks from SYMBOLS on share one input symbol. The ranking is cut into CLASSES classes of about the
+   same mass, and p(id | context) = p(class | context) * p(id | class, context), both read out of the network; ids of a class from rank OUT on are one outcome,
+   shared out by the counts plus one.
+3. Training: the corpus, each distinct (id, text) once, is dealt by hash to shards of about SHARD_IDS ids. A shard is one stream of texts cut into windows of
+   2 * STRIDE inputs, in which an id sees what stands before it in its text; so each id is a target once a round. In each of ROUNDS rounds every shard trains
+   a copy of the network (Adam, backpropagation), and the copies are averaged, weighted by their windows, by a shuffle of parameter blocks. The driver gets
+   one network. Neither shards nor their order depend on files or tasks.
 4. Scoring: windows of 2 * STRIDE inputs begin every STRIDE ids, and score their last STRIDE ids; so each id is scored once and
    sees STRIDE to 2 * STRIDE - 1 ids before it, or all if there are fewer. Windows of many texts are run as one batch with a mask.
 
 The network has one head: input vectors, query, key and value matrices, a bias for each distance, and a readout of the attended value
-plus the input vector.
+plus the input vector. The readout starts as the counts of the corpus.
 
 Edge cases: a null text has null n_tokens, nll and bits; an empty one has n_tokens 0, nll 0 and null bits. Repeated rows and ids are scored
 each for itself, and weigh in the counts as often as they come. Texts of any length are scored whole. Rows without an id are scored too. Other
-columns are not read. An empty table gives an empty result. The scores depend on how rows lie in the files, through
-the tasks' copies, but not on the order of tasks.
+columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,28 +32,38 @@ from pyspark.sql import functions as F
 from glossa.llm import bpe
 from glossa.llm.common import cut, lean
 
-SYMBOLS, CLASSES, WIDTH, STRIDE, ROUNDS = 2048, 64, 16, 16, 2
-_BATCH, _RATE, _PARAM_BLOCKS, _SCORED = 64, 0.01, 16, 4096
+SYMBOLS, OUT, CLASSES, WIDTH, STRIDE, ROUNDS = 4096, 4096, 64, 16, 16, 1
+SHARD_IDS = 1 << 21
+_BATCH, _RATE, _PARAM_BLOCKS, _SCORED = 128, 0.015, 16, 8192
 _TEXT_BYTES, _ID_BYTES = 12_000_000, 1_000_000
-_SAFE = 60.0  # logits up to here need no shift before the exponential
 _NO = np.float32(-1e9)
+_SAFE = 60.0  # logits up to here need no shift before the exponential
 
 
 class Ranking:
-    """By corpus counts: the symbol and the class of each id, and log p(id | class)."""
+    """By corpus counts: the symbol, class and outcome of each id, and log p(id | outcome). Classes and outcomes are runs of ranks; edge[c] is the first outcome of class c."""
 
-    def __init__(self, counts: np.ndarray, symbols: int = SYMBOLS, classes: int = CLASSES):
+    def __init__(self, counts: np.ndarray, symbols: int = SYMBOLS, classes: int = CLASSES, out: int = OUT):
         mass = counts + 1.0
         order = np.argsort(-counts, kind="stable")
-        self.symbols, self.classes = symbols, classes
-        self.symbol = np.empty(len(counts), np.int32)
-        self.symbol[order] = np.minimum(np.arange(len(counts)), symbols - 1)
+        rank = np.empty(len(counts), np.int64)
+        rank[order] = np.arange(len(counts))
+        self.symbols = symbols
+        self.symbol = np.minimum(rank, symbols - 1).astype(np.int32)
         share = (np.cumsum(mass[order]) - mass[order] / 2) / mass.sum()
-        self.cls = np.empty(len(counts), np.int32)
-        self.cls[order] = np.minimum((share * classes).astype(np.int32), classes - 1)
-        within = np.bincount(self.cls, mass, classes)
-        self.given = (np.log(mass) - np.log(within[self.cls])).astype(np.float32)
-        self.prior = np.log(np.maximum(within, 1e-9) / mass.sum()).astype(np.float32)
+        by_rank = np.unique(np.minimum((share * classes).astype(np.int64), classes - 1), return_inverse=True)[1]
+        self.cls = by_rank[rank].astype(np.int32)
+        self.classes = int(by_rank[-1]) + 1
+        tail = by_rank[min(out, len(counts) - 1)]
+        outcome = np.where(np.arange(len(counts)) < out, np.arange(len(counts)), out + by_rank - tail)
+        self.outcome = outcome[rank].astype(np.int32)
+        own = np.bincount(self.outcome, mass)
+        self.edge = np.r_[outcome[np.searchsorted(by_rank, np.arange(self.classes))], len(own)]
+        self.of = np.repeat(np.arange(self.classes), np.diff(self.edge)).astype(np.int32)
+        self.given = (np.log(mass) - np.log(own[self.outcome])).astype(np.float32)
+        within = np.bincount(self.cls, mass)
+        self.prior = np.log(within / mass.sum()).astype(np.float32)
+        self.share = np.log(own / within[self.of]).astype(np.float32)
 
 
 def _offsets(stride: int) -> np.ndarray:
@@ -61,13 +71,35 @@ def _offsets(stride: int) -> np.ndarray:
     return (np.arange(stride, 2 * stride)[:, None] - np.arange(2 * stride)[None]).astype(np.int64)
 
 
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp(z) in place, up to a factor for each row, and its sums over the last axis."""
+    if z.size and z.max() > _SAFE:
+        z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[-1], z.dtype)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z /= _exp(z)[..., None]
+    return z
+
+
+def _by_class(cls: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+    """An order of the rows by class, and for each class of more than one outcome its rows in that order and its outcomes."""
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    n = np.bincount(cls, minlength=len(edge) - 1)
+    end = np.cumsum(n)
+    return order, [(slice(end[c] - n[c], end[c]), slice(edge[c], edge[c + 1])) for c in np.flatnonzero((n > 0) & (np.diff(edge) > 1))]
+
+
 class Network:
     """Symbols: 0 .. symbols - 1, then the beginning of a text, then padding."""
 
     def __init__(self, rank: Ranking, width: int = WIDTH, stride: int = STRIDE, seed: int = 1):
         g = np.random.default_rng(seed)
         self.begin, self.pad, self.width, self.stride = rank.symbols, rank.symbols + 1, width, stride
-        p = {"E": g.normal(0, 0.3, (rank.symbols + 2, width)), **{k: g.normal(0, width**-0.5, (width, width)) for k in "QKVO"}, "D": np.zeros(2 * stride), "W": g.normal(0, 0.05, (width, rank.classes)), "b": rank.prior}
+        self.edge, self.of = rank.edge, rank.of
+        p = {"E": g.normal(0, 0.3, (rank.symbols + 2, width)), **{k: g.normal(0, width**-0.5, (width, width)) for k in "QKVO"}, "D": np.zeros(2 * stride), "W": g.normal(0, 0.05, (width, rank.classes)), "b": rank.prior, "U": g.normal(0, 0.05, (len(rank.of), width)), "c": rank.share}
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
 
     def vector(self) -> np.ndarray:
@@ -79,63 +111,85 @@ class Network:
             self.p[k] = vector[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
 
-    def loss(self, s: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy of the classes y (batch, stride), -1 where there is none, after the symbols s (batch, 2 * stride), and gradients."""
-        p, h, scale = self.p, self.stride, np.float32(self.width**-0.5)
-        x = p["E"][s]
-        xq = x[:, h:]
-        q, k, v = xq @ p["Q"], x @ p["K"], x @ p["V"]
-        dist = _offsets(h)
-        a = q @ k.transpose(0, 2, 1) * scale + p["D"][np.maximum(dist, 0)]
-        a = np.where((dist < 0)[None] | (s == self.pad)[:, None], _NO, a)
-        a = np.exp(a - a.max(2, keepdims=True))
-        a /= a.sum(2, keepdims=True)
-        c = a @ v
-        o = xq + c @ p["O"]
-        z = o @ p["W"] + p["b"]
-        z = np.exp(z - z.max(2, keepdims=True))
-        z /= z.sum(2, keepdims=True)
-        there = y >= 0
-        n = max(1, int(there.sum()))
-        i, j = np.nonzero(there)
-        loss = -np.log(z[i, j, y[i, j]] + 1e-12).sum() / n
-        z[i, j, y[i, j]] -= 1
-        z *= there[:, :, None] / np.float32(n)
-        g = {"W": np.tensordot(o, z, ((0, 1), (0, 1))), "b": z.sum((0, 1))}
+    def copy(self) -> Network:
+        out = Network.__new__(Network)
+        out.__dict__ = self.__dict__ | {"p": {k: v.copy() for k, v in self.p.items()}}
+        return out
+
+    def loss(self, s: np.ndarray, y: np.ndarray, text: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy of the outcomes y (batch, inputs), -1 where there is none, after the symbols s of the same text (number) up to there, and gradients."""
+        p, (n, w), scale = self.p, s.shape, np.float32(self.width**-0.5)
+        flat = s.ravel()
+        x = p["E"][flat]
+        q, k, v = ((x @ p[m]).reshape(n, w, -1) for m in "QKV")
+        dist = np.arange(w)[:, None] - np.arange(w)[None]
+        a = q @ k.transpose(0, 2, 1)
+        a *= scale
+        a += np.where(dist < 0, _NO, p["D"][np.maximum(dist, 0)])
+        a[text[:, :, None] != text[:, None, :]] = _NO
+        a = _softmax(a)
+        c = (a @ v).reshape(n * w, -1)
+        o = x + c @ p["O"]
+        there = np.flatnonzero(y.ravel() >= 0)
+        yy = y.ravel()[there]
+        cls = self.of[yy]
+        order, runs = _by_class(cls, self.edge)
+        there, yy, cls = there[order], yy[order], cls[order]
+        oo, m = o[there], max(1, len(there))
+        z = _softmax(oo @ p["W"] + p["b"])
+        row = np.arange(len(there))
+        loss = -np.log(z[row, cls] + 1e-12).sum()
+        z[row, cls] -= 1
+        g = {"W": oo.T @ z, "b": z.sum(0), "U": np.zeros_like(p["U"]), "c": np.zeros_like(p["c"])}
         do = z @ p["W"].T
-        g["O"] = np.tensordot(c, do, ((0, 1), (0, 1)))
-        dc = do @ p["O"].T
+        for r, u in runs:
+            z = _softmax(oo[r] @ p["U"][u].T + p["c"][u])
+            own = row[: len(z)], yy[r] - u.start
+            loss -= np.log(z[own] + 1e-12).sum()
+            z[own] -= 1
+            g["U"][u], g["c"][u] = z.T @ oo[r], z.sum(0)
+            do[r] += z @ p["U"][u]
+        whole = np.zeros_like(o)
+        whole[there] = do / np.float32(m)
+        for k_ in ("W", "b", "U", "c"):
+            g[k_] /= np.float32(m)
+        g["O"] = c.T @ whole
+        dc = (whole @ p["O"].T).reshape(n, w, -1)
         dv = a.transpose(0, 2, 1) @ dc
         da = dc @ v.transpose(0, 2, 1)
-        da = a * (da - (da * a).sum(2, keepdims=True))
-        g["D"] = np.bincount(np.maximum(dist, 0).ravel(), np.where(dist < 0, 0, da.sum(0)).ravel(), 2 * h).astype(np.float32)
-        dq, dk = da @ k * scale, da.transpose(0, 2, 1) @ q * scale
-        g["Q"] = np.tensordot(xq, dq, ((0, 1), (0, 1)))
-        g["K"], g["V"] = np.tensordot(x, dk, ((0, 1), (0, 1))), np.tensordot(x, dv, ((0, 1), (0, 1)))
-        dx = dk @ p["K"].T + dv @ p["V"].T
-        dx[:, h:] += do + dq @ p["Q"].T
-        cell = s.reshape(-1, 1) * self.width + np.arange(self.width)
-        g["E"] = np.bincount(cell.ravel(), dx.ravel(), p["E"].size).reshape(p["E"].shape).astype(p["E"].dtype)
-        return float(loss), g
-
-    def train(self, s: np.ndarray, y: np.ndarray, rate: float = _RATE, seed: int = 1) -> None:
+        da -= (da * a).sum(2, keepdims=True)
+        da *= a
+        g["D"] = np.bincount(np.maximum(dist, 0).ravel(), np.where(dist < 0, 0, da.sum(0)).ravel(), len(p["D"]))
+        da *= scale
+        dq, dk, dv = (d.reshape(n * w, -1) for d in (da @ k, da.transpose(0, 2, 1) @ q, dv))
+        g["Q"], g["K"], g["V"] = x.T @ dq, x.T @ dk, x.T @ dv
+        dx = whole + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        symbol = flat[order]
+        first = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
+        g["E"] = np.zeros_like(p["E"])
+        g["E"][symbol[first]] = np.add.reduceat(dx[order], first)
+        return float(loss) / m, g
+
+    def train(self, s: np.ndarray, y: np.ndarray, text: np.ndarray, rate: float = _RATE, seed: int = 1) -> None:
         """One pass of Adam over the windows, in an order drawn by seed."""
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         order = np.random.default_rng(seed).permutation(len(s))
         steps = -(-len(s) // _BATCH)
         for i in range(steps):
             t = order[i * _BATCH : (i + 1) * _BATCH]
-            _, grad = self.loss(s[t].astype(np.int64), y[t])
-            r = rate * (1 - 0.8 * i / steps)
+            _, grad = self.loss(s[t].astype(np.int32), y[t].astype(np.int32), text[t])
+            r = rate * (1 - 0.9 * i / steps)
+            one, two = 1 - 0.9 ** (i + 1), 1 - 0.99 ** (i + 1)
             for k, q in grad.items():
-                m[k] += 0.1 * (q - m[k])
-                v[k] += 0.01 * (q * q - v[k])
-                self.p[k] -= np.float32(r) * (m[k] / (1 - 0.9 ** (i + 1))) / (np.sqrt(v[k] / (1 - 0.99 ** (i + 1))) + np.float32(1e-8))
+                m[k] += np.float32(0.1) * (q - m[k])
+                v[k] += np.float32(0.01) * (q * q - v[k])
+                self.p[k] -= np.float32(r / one) * m[k] / (np.sqrt(v[k] * np.float32(1 / two)) + np.float32(1e-8))
 
     def tables(self) -> tuple[np.ndarray, ...]:
-        """What scoring looks up by symbol: query, key, value and readout, and the matrix from attended values to classes."""
+        """What scoring looks up by symbol: query, key and value."""
         p = self.p
-        return p["E"] @ p["Q"] * np.float32(self.width**-0.5), p["E"] @ p["K"], p["E"] @ p["V"], p["E"] @ p["W"] + p["b"], p["O"] @ p["W"]
+        return p["E"] @ p["Q"] * np.float32(self.width**-0.5), p["E"] @ p["K"], p["E"] @ p["V"]
 
 
 def layout(net: Network, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,44 +219,56 @@ def score(net: Network, rank: Ranking, ids: np.ndarray, size: np.ndarray) -> np.
     n = -(-size // h)
     first = np.cumsum(n) - n
     at = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
-    cls = np.full(len(start) * h, -1, np.int32)
-    cls[np.repeat(first * h, size) + at] = rank.cls[ids]
-    cls = cls.reshape(-1, h)
-    tq, tk, tv, tx, ow = net.tables()
+    target = np.full(len(start) * h, -1, np.int32)
+    target[np.repeat(first * h, size) + at] = rank.outcome[ids]
+    target = target.reshape(-1, h)
+    p = net.p
+    tq, tk, tv = net.tables()
     dist = _offsets(h)
-    base = np.where(dist < 0, _NO, net.p["D"][np.maximum(dist, 0)])
-    window, row = np.arange(2 * h), np.arange(_SCORED)
-    ones_k, ones_c = np.ones(2 * h, np.float32), np.ones(tx.shape[1], np.float32)
+    base = np.where(dist < 0, _NO, p["D"][np.maximum(dist, 0)])
+    window = np.arange(2 * h)
     for i in range(0, len(start), _SCORED // h):
         t = slice(i, i + _SCORED // h)
         s = flat[start[t, None] + window]
         a = tq[s[:, h:]] @ tk[s].transpose(0, 2, 1)
         a += base
         a += np.where(s == net.pad, _NO, np.float32(0))[:, None]
-        if a.max() > _SAFE:
-            a -= a.max(2, keepdims=True)
-        np.exp(a, out=a)
-        c = (a @ tv[s]).reshape(-1, net.width)
-        c /= a.reshape(-1, 2 * h) @ ones_k[:, None]
-        z = tx[s[:, h:].ravel()]
-        z += c @ ow
-        if z.max() > _SAFE or z.min() < -_SAFE:
-            z -= z.max(1, keepdims=True)
-        y = cls[t].ravel()
-        own = z[row[: len(z)], np.maximum(y, 0)]
-        np.exp(z, out=z)
-        loss = np.where(y >= 0, np.log(z @ ones_c) - own, 0).reshape(-1, h)
-        np.add.at(out, text[t], loss.sum(1, dtype=float))
+        c = (_softmax(a) @ tv[s]).reshape(-1, net.width)
+        y = target[t].ravel()
+        there = np.flatnonzero(y >= 0)
+        cls = net.of[y[there]]
+        order, runs = _by_class(cls, net.edge)
+        there, cls = there[order], cls[order]
+        y = y[there]
+        o = p["E"][s[:, h:].ravel()[there]] + c[there] @ p["O"]
+        loss = _surprise(o @ p["W"] + p["b"], cls)
+        for r, u in runs:
+            loss[r] += _surprise(o[r] @ p["U"][u].T + p["c"][u], y[r] - u.start)
+        out += np.bincount(text[t][there // h], loss, len(out))
     return out - np.bincount(np.repeat(np.arange(len(size)), size), rank.given[ids], len(size))
 
 
-def training_windows(net: Network, rank: Ranking, ids: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and classes of all windows of a text, which has one id at least; each id is a target once. salt has no effect, as nothing is drawn."""
-    h = net.stride
-    flat, start, _ = layout(net, rank.symbol[ids], np.array([len(ids)]))
-    y = np.full(len(start) * h, -1, np.int16)
-    y[: len(ids)] = rank.cls[ids]
-    return np.lib.stride_tricks.sliding_window_view(flat.astype(np.int16), 2 * h)[start], y.reshape(-1, h)
+def _surprise(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """-log softmax(z) at own, for each row."""
+    if z.min() < -_SAFE:
+        z -= z.max(1, keepdims=True)
+    row = np.arange(len(z))
+    total = _exp(z)
+    return np.log(total) - np.log(z[row, own] + np.float32(1e-30))
+
+
+def training_windows(net: Network, rank: Ranking, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, outcomes and text numbers of the windows that tile the stream of texts, none of which is empty; each id is a target once."""
+    w = 2 * net.stride
+    size = np.array([len(x) for x in texts], np.int64)
+    ids = np.concatenate(texts)
+    n = -(-len(ids) // w) * w
+    s, y, text = np.full(n, net.pad, np.uint16), np.full(n, -1, np.int16), np.full(n, -1, np.int32)
+    s[1 : len(ids)] = rank.symbol[ids[:-1]]
+    s[np.cumsum(size) - size] = net.begin
+    y[: len(ids)] = rank.outcome[ids]
+    text[: len(ids)] = np.repeat(np.arange(len(size)), size)
+    return s.reshape(-1, w), y.reshape(-1, w), text.reshape(-1, w)
 
 
 def _tokenize(raw):
@@ -253,14 +319,13 @@ def _count(size: int):
 def _train(given, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, rank = given.value
-        found = [training_windows(net, rank, ids) for b in batches for ids in _ids(b) if ids is not None and len(ids)]
+        found = [ids for b in batches for ids in _ids(b) if len(ids)]
         if not found:
             return
-        s, y = (np.concatenate(x) for x in zip(*found))
+        s, y, text = training_windows(net, rank, found)
         found.clear()
-        own = Network.__new__(Network)
-        own.__dict__ = net.__dict__ | {"p": {k: v.copy() for k, v in net.p.items()}}
-        own.train(s, y, rate)
+        own = net.copy()
+        own.train(s, y, text, rate)
         w, v = len(s), own.vector().astype(float)
         parts = np.array_split(v * w, _PARAM_BLOCKS)
         yield pa.RecordBatch.from_arrays([pa.array(range(_PARAM_BLOCKS), pa.int64()), pa.array([float(w)] * _PARAM_BLOCKS), pa.array([x.tolist() for x in parts], pa.list_(pa.float64()))], ["k", "w", "v"])
@@ -289,8 +354,11 @@ def fit(tokens: DataFrame, size: int, rounds: int = ROUNDS) -> tuple[Network, Ra
         counts[r.id] = r.n
     rank = Ranking(counts)
     net = Network(rank)
+    shards = max(1, round(int(counts.sum()) / SHARD_IDS))
+    rows = tokens.select("doc_id", "ids").where("ids is not null").distinct().select(F.xxhash64("doc_id", "ids").alias("h"), "ids")
+    dealt = rows.repartition(shards, "h").sortWithinPartitions("h", "ids").select("ids")
     for i in range(rounds):
-        trained = tokens.select("ids").mapInArrow(lean(_train(sc.broadcast((net, rank)), _RATE / 2**i)), "k bigint, w double, v array<double>")
+        trained = dealt.mapInArrow(lean(_train(sc.broadcast((net, rank)), _RATE / 2**i)), "k bigint, w double, v array<double>")
         mean = trained.repartition(min(parts, _PARAM_BLOCKS), "k").sortWithinPartitions("k", "w", "v").mapInArrow(lean(_average), "k bigint, v array<double>").collect()
         if mean:
             net.take(np.concatenate([np.array(r.v) for r in sorted(mean, key=lambda r: r.k)]))

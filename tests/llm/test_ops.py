@@ -208,69 +208,97 @@ def vocab():
         return bpe.Vocabulary(f.read())
 
 
-def test_lm_gradients_and_gain(vocab):
-    rng = random.Random(2)
+def _chains(vocab, n, size, seed=2):
+    """Encoded texts in which each word has two followers."""
+    rng = random.Random(seed)
     words = VOCAB[:40]
     follow = {w: rng.sample(words, 2) for w in words}
-
-    def chain_text(n):
-        w, out = rng.choice(words), []
-        for _ in range(n):
-            out.append(w)
+    out = []
+    for _ in range(n):
+        w, text = rng.choice(words), []
+        for _ in range(size):
+            text.append(w)
             w = rng.choice(follow[w])
-        return " ".join(out)
+        out.append(bpe.encode_texts([" ".join(text)], vocab)[0].astype(np.int64))
+    return out
+
 
-    ids = [bpe.encode_texts([chain_text(200)], vocab)[0].astype(np.int64) for _ in range(140)]
-    rank = lm.Ranking(np.bincount(np.concatenate(ids[:120]), minlength=len(vocab.sizes)))
+def test_lm_gradients(vocab):
+    ids = _chains(vocab, 6, 60)
+    rank = lm.Ranking(np.bincount(np.concatenate(ids), minlength=len(vocab.sizes)), out=40)  # so that some outcomes are tails
     net = lm.Network(rank)
-    s, y = (np.concatenate(x).astype(np.int64) for x in zip(*[lm.training_windows(net, rank, d, k) for k, d in enumerate(ids[:120]) for _ in range(1)]))
+    s, y, text = (x.astype(np.int64) for x in lm.training_windows(net, rank, ids))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    _, grad = net.loss(s[:3], y[:3])
+    cls = net.of[y[:4][y[:4] >= 0]]
+    big = next(c for c in cls if net.edge[c + 1] - net.edge[c] > 1)
+    _, grad = net.loss(s[:4], y[:4], text[:4])
     for k in net.p:
-        at = tuple(int(x) // 2 for x in net.p[k].shape) if k != "E" else (int(s[0, -1]), 1)
+        at = {"E": (int(s[0, -1]), 1), "U": (int(net.edge[big]), 1), "c": (int(net.edge[big]),), "D": (3,)}.get(k, tuple(x // 2 for x in net.p[k].shape))
         e, old = 1e-4, net.p[k][at]
         net.p[k][at] = old + e
-        up = net.loss(s[:3], y[:3])[0]
+        up = net.loss(s[:4], y[:4], text[:4])[0]
         net.p[k][at] = old - e
-        down = net.loss(s[:3], y[:3])[0]
+        down = net.loss(s[:4], y[:4], text[:4])[0]
         net.p[k][at] = old
-        assert abs(grad[k][at] - (up - down) / 2 / e) < 1e-5
+        assert abs(grad[k][at] - (up - down) / 2 / e) < 1e-5 and abs(up - down) > 0
+
+
+def test_lm_gain_and_brute_force(vocab):
+    ids = _chains(vocab, 340, 300)
+    counts = np.bincount(np.concatenate(ids[:300]), minlength=len(vocab.sizes))
+    rank = lm.Ranking(counts, out=60)
     net = lm.Network(rank)
-    held, size = np.concatenate(ids[120:]), np.array([len(x) for x in ids[120:]])
-    before = lm.score(net, rank, held, size).sum()
-    for r in range(25):
-        net.train(s, y, seed=r)
-    assert lm.score(net, rank, held, size).sum() < before - 0.05 * len(held)
-    # one text by hand, window by window
-    d = ids[121]
-    flat, start, _ = lm.layout(net, rank.symbol[d], np.array([len(d)]))
-    total = 0.0
-    for i, a in enumerate(start):
-        yy = np.full((1, net.stride), -1)
-        own = d[i * net.stride : (i + 1) * net.stride]
-        yy[0, : len(own)] = rank.cls[own]
-        total += net.loss(flat[None, a : a + 2 * net.stride].astype(np.int64), yy)[0] * len(own) - rank.given[own].sum()
-    assert abs(total - lm.score(net, rank, d, np.array([len(d)]))[0]) < 1e-2 * len(d) ** 0.5
-
-
-def test_lm_training_windows_of_long_texts(vocab):
-    ids = np.arange(20_000) % len(vocab.sizes)
-    rank = lm.Ranking(np.bincount(ids, minlength=len(vocab.sizes)))
-    s, y = lm.training_windows(lm.Network(rank), rank, ids, 1)
-    assert len(s) == len(y) >= 1 + len(ids) // 512
+    held, size = np.concatenate(ids[300:]), np.array([len(x) for x in ids[300:]])
+    unigram = -np.log((counts[held] + 1) / (counts + 1).sum()).sum()
+    assert abs(lm.score(net, rank, held, size).sum() / unigram - 1) < 0.02  # begins as the counts
+    net.train(*lm.training_windows(net, rank, ids[:300]))
+    assert lm.score(net, rank, held, size).sum() < 0.8 * unigram
+    # id by id: over its window's context, the probabilities of all outcomes
+    p, h = {k: v.astype(float) for k, v in net.p.items()}, net.stride
+    for d in (ids[301], ids[302][:1], ids[303][:16], ids[304][:17], ids[305][:45]):
+        inputs, total = [net.begin, *rank.symbol[d[:-1]]], 0.0
+        for t in range(len(d)):
+            first = max(0, t // h * h - h)
+            x = p["E"][inputs[first : t + 1]]
+            a = (x @ p["K"]) @ (x[-1] @ p["Q"]) / net.width**0.5 + p["D"][np.arange(len(x))[::-1]]
+            a = np.exp(a - a.max())
+            o = x[-1] + (a / a.sum()) @ (x @ p["V"]) @ p["O"]
+            z = o @ p["W"] + p["b"]
+            out = np.empty(len(net.of))
+            for c in range(len(z)):
+                e = np.exp(p["U"][net.edge[c] : net.edge[c + 1]] @ o + p["c"][net.edge[c] : net.edge[c + 1]])
+                out[net.edge[c] : net.edge[c + 1]] = e / e.sum() * np.exp(z[c]) / np.exp(z).sum()
+            assert abs(out.sum() - 1) < 1e-9
+            total -= np.log(out[rank.outcome[d[t]]]) + rank.given[d[t]]
+        assert abs(total - lm.score(net, rank, d, np.array([len(d)]))[0]) < 1e-3 * len(d)
+
+
+def test_lm_probabilities_sum_to_one():
+    for classes, out in ((64, 4096), (8, 20), (5, 1), (3, 200)):
+        counts = np.random.default_rng(0).zipf(1.3, 200) % 5000
+        rank = lm.Ranking(counts, classes=classes, out=out)
+        p = np.exp(rank.given + rank.share[rank.outcome] + rank.prior[rank.cls])
+        assert np.allclose(p, (counts + 1) / (counts + 1).sum(), rtol=1e-4) and (rank.of[rank.outcome] == rank.cls).all()
 
 
 def test_lm_trains_on_every_id(vocab):
     rng = np.random.default_rng(3)
-    for n in (1, 15, 16, 17, 3000):
-        ids = rng.integers(0, len(vocab.sizes), n)
-        rank = lm.Ranking(np.bincount(ids, minlength=len(vocab.sizes)))
-        net = lm.Network(rank)
-        s, y = lm.training_windows(net, rank, ids, 1)
-        assert y[y >= 0].tolist() == rank.cls[ids].tolist()
-        before = np.r_[net.begin, rank.symbol[ids][:-1]]
-        assert s[:, net.stride :][y >= 0].tolist() == before.tolist()
-        assert len(s) == 1 or s[1:, : net.stride].tolist() == s[:-1, net.stride :].tolist()
+    texts = [rng.integers(0, len(vocab.sizes), n) for n in (1, 15, 16, 17, 3000, 1, 31, 32, 33)]
+    rank = lm.Ranking(np.bincount(np.concatenate(texts), minlength=len(vocab.sizes)))
+    net = lm.Network(rank)
+    s, y, text = (x.ravel() for x in lm.training_windows(net, rank, texts))
+    assert y[y >= 0].tolist() == rank.outcome[np.concatenate(texts)].tolist()
+    for k, t in enumerate(texts):
+        assert s[text == k].tolist() == [net.begin, *rank.symbol[t[:-1]]]
+
+
+def test_lm_same_under_any_layout(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_IDS", 20_000)
+    rows = corpus + [(None, "no id", "a"), (None, "no id", "a"), (5, corpus[5][1], "b")]
+    one = sorted(map(tuple, lm.score_corpus(docs(spark, rows).coalesce(1)).collect()), key=str)
+    d = docs(spark, rows[::-1]).repartition(7).withColumnRenamed("lang", "ids").withColumnRenamed("source", "h").withColumnRenamed("n_chars", "bits")
+    two = sorted(map(tuple, lm.score_corpus(d).collect()), key=str)
+    assert [r[:2] for r in one] == [r[:2] for r in two] and np.allclose([r[2] for r in one], [r[2] for r in two], rtol=1e-6)
 
 
 def test_lm_odd(spark):
