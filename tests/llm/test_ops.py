@@ -116,13 +116,42 @@ def test_simhash_search_is_exhaustive():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     f = np.concatenate([base ^ (sum((np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for _ in range(0)) if k == 0 else np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (k, 60)).astype(np.uint64), axis=0)) for k in (0, 3, 6, 9, 10)])
-    found = set()
-    for i, m in enumerate(simhash._pieces()):
-        key = (f & np.uint64(m & (2**64 - 1))).view(np.int64)
-        for order, a, b in simhash.close_pairs(key, f, simhash.K):
-            found |= {tuple(sorted((int(order[x]), int(order[y])))) for x, y in zip(a, b)}
     want = {(a, b) for a in range(len(f)) for b in range(a + 1, len(f)) if int(f[a] ^ f[b]).bit_count() <= simhash.K}
-    assert found == want
+    for many in (False, True):
+        found = set()
+        for m, masks in simhash.tables(many):
+            for inner in masks:
+                for a, b in simhash.close_pairs(f & np.uint64(m | inner), f, simhash.K):
+                    found |= {tuple(sorted((int(x), int(y)))) for x, y in zip(a, b)}
+        assert found == want
+
+
+def test_simhash_search_with_pruning_and_blocks(monkeypatch):
+    """Components of a ball of near copies among other rows are those of all pairs, whatever the sizes of pieces."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    flip = lambda x, k: x ^ np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (k, len(x))).astype(np.uint64), axis=0)
+    base = rng.integers(0, 2**63, 1, dtype=np.uint64)
+    f = np.concatenate([flip(np.repeat(base, 700), 4), rng.integers(0, 2**63, 300, dtype=np.uint64)])
+    f = np.unique(np.concatenate([f, flip(f[650:850], 6)]))
+    g = np.where(rng.random(len(f)) < 0.5, np.uint64(0), np.uint64(2**40 - 1))
+    parent = simhash._Union(len(f))
+    near = (np.bitwise_count(f[:, None] ^ f[None]) <= simhash.K) & (np.bitwise_count(g[:, None] ^ g[None]) <= simhash.VERIFY)
+    parent.join(*np.nonzero(near))
+    want = parent.roots()
+    for many, front, rows in ((False, 2_000_000, 100_000), (False, 640, 100), (True, 640, 100)):
+        monkeypatch.setattr(simhash, "_FRONT", front)
+        monkeypatch.setattr(simhash, "_ROWS", rows)
+        masks = simhash.tables(many)
+        t, key = np.repeat(np.arange(len(masks)), len(f)), np.concatenate([f & np.uint64(m) for m, _ in masks]).view(np.int64)
+        order = np.lexsort((key, t))
+        cols = [t.astype(np.int32), key, *(np.tile(x, len(masks)) for x in (f.view(np.int64), g.view(np.int64), np.arange(len(f))))]
+        table = pa.table({n: c[order] for n, c in zip(("t", "key", "f", "g", "node"), cols)})
+        union = simhash._Union(len(f))
+        for b in simhash._search(simhash.K, simhash.VERIFY, masks)(iter(table.to_batches(max_chunksize=70))):
+            union.join(*(c.to_numpy() for c in b.columns))
+        assert (union.roots() == want).all()
 
 
 def test_simhash_groups(spark, corpus):
@@ -156,6 +185,16 @@ def test_simhash_odd(spark):
     assert kept.columns == ["doc_id", "text", "group_id", "node", "n_chars"]
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 6, None])
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
+    assert simhash.deduplicate(docs(spark, [])).count() == 0
+
+
+def test_simhash_repeated_ids(spark, corpus):
+    a, b, c = (corpus[i][1] for i in (1, 2, 3))
+    d = docs(spark, [(7, a, "x"), (7, b, "x"), (7, a, "x"), (8, b, "y"), (6, c, "x"), (6, c, "y"), (6, c, "y"), (9, "", "x"), (9, None, "x"), (10, a, "x")]).withColumnRenamed("lang", "h").withColumnRenamed("source", "i")
+    assert sorted(map(tuple, simhash.near_duplicates(d).collect())) == [(6, 6, True), (7, 7, True), (8, 7, False), (9, 9, True), (10, 7, False)]
+    kept = sorted((tuple(r) for r in simhash.deduplicate(d).collect()), key=str)
+    assert sorted((r[0], r[1] or "") for r in kept) == sorted([(6, c), (7, a), (7, b), (9, "")])
+    assert kept == sorted((tuple(r) for r in simhash.deduplicate(d.repartition(3)).collect()), key=str)
 
 
 # 3
