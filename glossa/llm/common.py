@@ -85,6 +85,7 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _cuts: list[tuple[SparkSession, str]] = []
 _own_dir: list[str] = []
 
@@ -108,22 +109,21 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, which outlives any executor."""
+    """Cuts the lineage: df as a Parquet table in the shared folder, which outlives any executor. The shuffle files behind it go once it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _cuts.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._glossa_cut = path
     return out
 
 
-def free(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing refers to any more, which it does when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_cut(df: DataFrame) -> None:
     """Deletes the table of a cut() that nothing reads any more."""
     path = getattr(df, "_glossa_cut", None)
