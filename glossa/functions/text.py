@@ -29,6 +29,28 @@ WORDING = [
     ("grammar", "please fill all the field", "Please fill all the fields", "plural"),
     ("ui_wording", "customer bided", "Customer placed a bid", "verb form"),
     ("ui_wording", "your trip is accepted", "Your trip has been accepted", "tense"),
+    ("grammar", "password is mismatch", "Passwords do not match", "verb form"),
+    ("grammar", "your payment is successfully done", "Your payment was successful", "tense"),
+    ("grammar", "enter valid email address", "Enter a valid email address", "article missing"),
+    ("grammar", "didn't customer arrived?", "Has the customer arrived?", "question form"),
+    ("grammar", "didn’t customer arrived?", "Has the customer arrived?", "question form"),
+    ("grammar", "you are not reached destination", "You have not reached the destination", "tense and article"),
+    ("grammar", "try few minute latter", "Try again in a few minutes", "plural"),
+    ("grammar", "typically the support team send you any feedback in", "Typically, the support team sends you feedback within", "agreement"),
+    ("grammar", "searching a car to go your destination?", "Looking for a car to reach your destination?", "preposition"),
+    ("grammar", "your car is arrived be ready for your trip", "Your car has arrived. Be ready for your trip.", "tense"),
+    ("grammar", "enjoy your ride ! & travel your destination everyday", "Enjoy your ride and travel to your destination every day.", "two sentences run together"),
+    ("grammar", "your have to reach your pickup point in counting time", "You have to reach your pickup point within the countdown time", "pronoun"),
+    ("grammar", "for feel better experience", "For a better experience", "verb after a preposition"),
+    ("grammar", "end this trip is", "End this trip at", "preposition"),
+    ("grammar", "to get request, must stay in our coverage area.", "To receive requests, you must stay within our coverage area.", "subject missing"),
+    ("grammar", "here a list of numbers that you may contact.", "Here is a list of numbers you may contact.", "verb missing"),
+    ("grammar", "you will be logout from your panel.", "You will be logged out from your panel.", "verb form"),
+    ("grammar", "identification content need verification first.", "Identification information needs verification first.", "agreement"),
+    ("grammar", "until wow you can't solve your safety issue", "If your safety issue is not resolved", "conjunction"),
+    ("grammar", "until wow you can’t solve your safety issue", "If your safety issue is not resolved", "conjunction"),
+    ("ui_wording", "customer are surrounding you", "Customers are nearby", "plural"),
+    ("ui_wording", "stay online mode to get more ride", "Stay online to get more rides", "plural"),
 ]
 
 _WORD = r"[A-Za-z؀-ۿ0-9]+"

@@ -91,6 +91,13 @@ def duplicate_values(entries: DataFrame, least: int = 5) -> DataFrame:
     return g.where(F.size("k") > 1).select("norm", F.array_join("k", ",").alias("keys"), F.size("k").cast("bigint").alias("n"))
 
 
+def duplicate_keys(entries: DataFrame, least: int = 5) -> DataFrame:
+    """(key, norm, first, n): each key whose text another key has too, with the least of these keys and their number; rows stay short however many share a text."""
+    d = entries.select("key", F.lower(tx.strip(F.col("value"))).alias("norm")).where(F.length("norm") >= least)
+    g = d.groupBy("norm").agg(F.min("key").alias("first"), F.count_distinct("key").alias("n")).where("n > 1")
+    return d.distinct().join(g, "norm").select("key", "norm", "first", "n")
+
+
 def case_variants(entries: DataFrame) -> DataFrame:
     """(norm, variants): spellings of one text that differ in case."""
     v = tx.strip(F.col("value"))

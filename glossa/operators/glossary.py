@@ -6,21 +6,26 @@ join is a hash join of exploded words, whatever the size of the glossary.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def _tokens(texts: DataFrame, col: str) -> DataFrame:
+    """(key, _w): the words of each text; narrow, so that a long text isn't copied to each of its words."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(col)), F.lit(r"(?U)\w+"), 0))
-    return texts.select("*", F.explode(words).alias("_w"))
+    return texts.select("key", F.explode(words).alias("_w"))
+
+
+def _quoted(c: Column) -> Column:
+    """A whole word of a regular expression that stands for itself."""
+    return F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
 
 
 def term_matches(texts: DataFrame, glossary: DataFrame, col: str = "en") -> DataFrame:
     """(text columns, glossary columns): terms that stand in the text as whole words, whatever their case."""
     terms = glossary.withColumn("_first", F.lower(F.regexp_extract("term_en", r"(?U)(\w+)", 1)))
-    found = _tokens(texts, col).join(terms, F.col("_w") == F.col("_first"))
-    rx = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.lower("term_en"), F.lit(r"\E(?!\w)"))
-    return found.where(F.regexp_like(F.lower(F.col(col)), rx)).drop("_w", "_first")
+    found = _tokens(texts, col).distinct().join(terms, F.col("_w") == F.col("_first")).drop("_w", "_first")
+    return texts.join(found, "key").where(F.regexp_like(F.lower(F.col(col)), _quoted(F.lower("term_en"))))
 
 
 def compliance(texts: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -41,5 +46,5 @@ def replace_terms(texts: DataFrame, glossary: DataFrame, col: str = "ar") -> Dat
     hit = _tokens(texts, col).join(glossary, F.col("_w") == F.lower(F.regexp_extract("forbidden", r"(?U)(\w+)", 1)))
     by_key = hit.groupBy("key").agg(F.reverse(F.array_sort(F.collect_set(F.struct(F.length("forbidden").alias("n"), "forbidden", "approved")))).alias("_r"))
     d = texts.join(by_key, "key", "left")
-    out = F.aggregate(F.coalesce("_r", F.array().cast("array<struct<n:int,forbidden:string,approved:string>>")), F.col(col), lambda acc, x: F.regexp_replace(acc, F.concat(F.lit(r"(?U)(?<!\w)\Q"), x["forbidden"], F.lit(r"\E(?!\w)")), x["approved"]))
+    out = F.aggregate(F.coalesce("_r", F.array().cast("array<struct<n:int,forbidden:string,approved:string>>")), F.col(col), lambda acc, x: F.regexp_replace(acc, _quoted(x["forbidden"]), F.replace(F.replace(x["approved"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))))
     return d.select("key", out.alias("text"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions import text as tx
+from glossa.functions.mask import tokens
+from glossa.operators.arabic import is_risky
 
 #: English verbs and the Arabic forms that stand for them.
 ACTIONS = {"add": "أضف إضافة", "save": "احفظ حفظ", "send": "أرسل إرسال", "delete": "احذف حذف", "approve": "وافق موافقة", "select": "اختر اختيار", "enter": "أدخل إدخال"}
@@ -64,7 +66,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def spacing_findings(pairs: DataFrame) -> DataFrame:
     """(key, issue_type, old, new) for padded English texts and runs of blanks."""
     e = F.col("en")
-    safe = ~e.rlike(r"[\n\r\t]") & ~tx.has_html(e) & ~tx.has_icu(e) & ~tx.is_technical(e)
+    safe = ~is_risky(e, tokens(e))
     found = F.array(
         F.when(tx.strip(e) != e, F.struct(F.lit("whitespace").alias("issue_type"), tx.strip(e).alias("new"))),
         F.when(safe & e.rlike(" {2,}"), F.struct(F.lit("spacing").alias("issue_type"), tx.collapse(e).alias("new"))),

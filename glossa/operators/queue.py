@@ -20,7 +20,7 @@ PROTECTED = r"^([A-Z]{2,}|[A-Z]?[a-z]+[A-Z]\w*)$"
 def text_type(key: Column, value: Column) -> Column:
     """By the key's tokens (and neighbouring pairs of them), else by the text's shape."""
     t = tx.key_tokens(key)
-    pairs = F.transform(F.slice(t, 2, 1000), lambda x, i: F.concat(F.get(t, i), F.lit("_"), x))
+    pairs = F.transform(F.slice(t, 2, F.size(t)), lambda x, i: F.concat(F.get(t, i), F.lit("_"), x))
     have = F.concat(t, pairs)
     out = None
     for kind, words in HINTS.items():

@@ -49,9 +49,13 @@ def prepare_gate(workbook: DataFrame, queue: DataFrame, locales: tuple[str, ...]
     """(plan_id, reason) for each row of workbook (plan_id, key, locale, status, approved, current): accepted, or the first reason against it, in this order:
 
     missing_field, unknown_plan_id, key_drift, source_drift, bad_locale, not_approved, no_change.
+    A plan_id that the queue has several times is one: its row of the same key if there is one, else that of the least key.
     """
-    q = queue.select("plan_id", F.col("key").alias("_k"), F.col("current").alias("_c"))
-    d = workbook.join(q, "plan_id", "left")
+    q = queue.groupBy("plan_id", F.col("key").alias("_k")).agg(F.min("current").alias("_c"))
+    same = q.select("plan_id", F.col("_k").alias("key"), F.col("_c").alias("_same"))
+    least = q.groupBy("plan_id").agg(F.min(F.struct("_k", "_c")).alias("_x"))
+    d = workbook.join(same, ["plan_id", "key"], "left").join(least, "plan_id", "left")
+    d = d.withColumn("_k", F.when(F.col("_same").isNotNull(), F.col("key")).otherwise(F.col("_x._k"))).withColumn("_c", F.coalesce("_same", "_x._c"))
     reason = (
         F.when((F.coalesce("plan_id", F.lit("")) == "") | (F.coalesce("key", F.lit("")) == ""), "missing_field")
         .when(F.col("_k").isNull(), "unknown_plan_id")

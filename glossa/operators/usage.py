@@ -16,13 +16,47 @@ PATTERNS = [
     ("accessor_static", "accessor", r"""\bl10n\.([a-z][A-Za-z0-9]*)"""),
     ("concat", "dynamic", r"""\bt\(["']([A-Za-z0-9_.-]+)["'] \+ """),
 ]
+_KEY = r"""(?:'([^'"\r\n]+)'|"([^'"\r\n]+)")"""
+_ARG = r"""(?!['"])([^)\r\n]+?)\s*[,)]"""
+
+
+def _call(head: str, key: str, dynamic: str, name: str, prefix: str = "") -> list[tuple[str, str, str]]:
+    """The static pattern of a call with a quoted key, and that of one with an expression."""
+    return [(key, "suspicious" if key.endswith("suspicious") else "static", rf"{head}\s*\(\s*{prefix}{_KEY}"), (dynamic, "suspicious" if dynamic.endswith("suspicious") else "dynamic", rf"{head}\s*\(\s*{prefix}{_ARG}")]
+
+
+#: The built-in patterns of all frameworks: (family, mode, pattern). The key, or the expression, is the first group that matches.
+BUILTIN = [
+    ("getx_static", "static", _KEY + r"\s*\.tr\b"),
+    ("getx_dynamic", "dynamic", r"\b([A-Za-z_][A-Za-z0-9_.$>\-?]*)\s*\.tr\b"),
+    *_call(r"(?<![\w.$])tr", "getx_static", "getx_dynamic", "tr"),
+    *_call(r"(?<![\w.$])translate", "translate_static", "translate_dynamic", "translate"),
+    ("getx_static", "static", rf"\bgetTranslated\s*\(\s*{_KEY}"),
+    *_call(r"\.translate", "translate_suspicious", "translate_suspicious", "dot_translate"),
+    *_call(r"(?<![\w.$])translate", "laravel_custom_static", "laravel_custom_dynamic", "custom", r"(?:key\s*:\s*)?"),
+    *_call(r"\b__", "laravel_static", "laravel_dynamic", "helper"),
+    *_call("@lang", "laravel_static", "laravel_dynamic", "directive"),
+    *_call(r"\btrans", "laravel_static", "laravel_dynamic", "trans"),
+    *_call(r"(?<![\w.$])t", "react_static", "react_dynamic", "t"),
+    *_call(r"\bi18n\.t", "react_static", "react_dynamic", "i18n"),
+    *_call(r"\$t", "vue_static", "vue_dynamic", "vue"),
+    ("inferred", "dynamic", r"""['"]([^'"\r\n]*\$\{.*?\}[^'"\r\n]*)['"]\s*\.tr\b"""),
+    ("inferred_prefix", "dynamic", r"""['"]([A-Za-z0-9_-]+)['"]\s*\+\s*[A-Za-z_]\w*"""),
+    ("inferred_suffix", "dynamic", r"""[A-Za-z_]\w*\s*\+\s*['"]([A-Za-z0-9_-]+)['"]"""),
+    ("inferred_both", "dynamic", r"""['"]([A-Za-z0-9_-]+)['"]\s*\+\s*[A-Za-z_]\w*\s*\+\s*['"][A-Za-z0-9_-]+['"]"""),
+]
 CONFIDENCE = {"static": 1.0, "accessor": 0.95, "dynamic": 0.65}
 
 
 def scan(lines: DataFrame, col: str = "code", patterns: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """lines with (family, mode, key) for each use; accessors are turned to snake case by ``normalize_keys``."""
     def uses(family: str, mode: str, rx: str) -> Column:
-        return F.transform(F.regexp_extract_all(F.col(col), F.lit(rx), 1), lambda k: F.struct(F.lit(family).alias("family"), F.lit(mode).alias("mode"), k.alias("key")))
+        if _KEY in rx:
+            one, two = (F.regexp_extract_all(F.col(col), F.lit(rx), n) for n in (1, 2))
+            found = F.zip_with(one, two, lambda x, y: F.when(x == "", y).otherwise(x))
+        else:
+            found = F.regexp_extract_all(F.col(col), F.lit(rx), 1)
+        return F.transform(found, lambda k: F.struct(F.lit(family).alias("family"), F.lit(mode).alias("mode"), k.alias("key")))
 
     found = F.flatten(F.array(*[uses(*p) for p in patterns or PATTERNS]))
     return lines.select("*", F.explode(found).alias("_x")).select(*[c for c in lines.columns if c != "key"], "_x.*")
@@ -51,6 +85,35 @@ def metadata(code: Column) -> Column:
     return out.otherwise("unknown")
 
 
+_LOCATIONS = [
+    ("snackbar", ("snackbar", "flushbar", "scaffoldmessenger")), ("toast", ("toast",)), ("notification_title", ("notification_title",)), ("notification_body", ("notification_body", "pushbody")),
+    ("subtitle", ("subtitle",)), ("helper_text", ("helper",)), ("form_hint", ("hinttext", "placeholder")), ("form_label", ("labeltext", "formfield", "textfield")), ("dialog_title", None),
+    ("dialog_body", ("dialog", "modal")), ("title", ("appbar", "title:", "screen_title")), ("button", ("elevatedbutton", "textbutton", "outlinedbutton", "iconbutton", "button(")),
+]
+_SURFACES = {"dialog": ("dialog_title", "dialog_body"), "notification": ("notification_title", "notification_body"), "feedback": ("snackbar", "toast"), "form": ("form_label", "form_hint", "helper_text"), "screen": ("title", "subtitle"), "action": ("button",)}
+_ROLES = {"label": ("button", "form_label", "title", "dialog_title", "notification_title"), "message": ("form_hint", "helper_text", "subtitle", "dialog_body", "notification_body", "snackbar", "toast")}
+_ACTS = {"action": "save submit continue next retry confirm approve send delete add create tap click press".split(), "status": "error failed warning invalid required success done".split()}
+
+
+def attributes(code: Column, roles: tuple[str, ...] = ()) -> Column:
+    """A struct (location, surface, role, action, audience) of a use, by what stands around it; the file's name may be put before the code."""
+    c = F.lower(code)
+    any_of = lambda words: F.coalesce(*[F.when(c.contains(w), True) for w in words], F.lit(False))
+    location = F.lit("unknown")
+    for name, words in reversed(_LOCATIONS):
+        location = F.when(any_of(words) if words else c.contains("alertdialog") & c.contains("title"), name).otherwise(location)
+
+    def of(table: dict, other: str) -> Column:
+        out = F.lit(other)
+        for name, places in table.items():
+            out = F.when(location.isin(*places), name).otherwise(out)
+        return out
+
+    action = F.when(any_of(_ACTS["action"]), "action").when(any_of(_ACTS["status"]), "status").otherwise("inform")
+    audience = F.when(any_of(roles), "role_specific").otherwise("general") if roles else F.lit("general")
+    return F.struct(location.alias("location"), of(_SURFACES, "generic").alias("surface"), of(_ROLES, "body").alias("role"), action.alias("action"), audience.alias("audience"))
+
+
 def aggregate(used: DataFrame) -> DataFrame:
     """(key, n, families, places, confidence) over uses (key, family, mode, place)."""
     conf = F.when(F.col("mode") == "static", CONFIDENCE["static"]).when(F.col("mode") == "accessor", CONFIDENCE["accessor"]).otherwise(CONFIDENCE["dynamic"])
@@ -70,10 +133,16 @@ def dynamic_matches(keys: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def key_status(en: DataFrame, ar: DataFrame, used: DataFrame) -> DataFrame:
-    """(key, status) for each key of the catalogs or the code: missing_in_both, missing_ar, missing_en, unused, dynamic or used."""
-    flag = lambda d, n: d.select("key").distinct().withColumn(n, F.lit(True))
-    d = flag(en, "e").join(flag(ar, "a"), "key", "full").join(flag(used.where("mode <> 'dynamic'"), "u"), "key", "full")
-    dyn = flag(dynamic_matches(d.select("key"), used), "d")
+    """(key, status) for each key of the catalogs or the code: missing_in_both, missing_ar, missing_en, unused, dynamic or used.
+
+    Uses are folded to one row a key first, so that the code is read once and what is shuffled twice is small.
+    """
+    uses = used.groupBy("key").agg(F.max(F.when(F.col("mode") != "dynamic", True)).alias("u"), F.max(F.when(F.col("mode") == "dynamic", True)).alias("p"))
+    sides = en.select("key", F.lit(True).alias("e"), F.lit(None).cast("boolean").alias("a")).unionAll(ar.select("key", F.lit(None).cast("boolean"), F.lit(True)))
+    rows = sides.withColumn("u", F.lit(None).cast("boolean")).unionAll(uses.where("u").select("key", F.lit(None).cast("boolean"), F.lit(None).cast("boolean"), "u"))
+    d = rows.where("key is not null").groupBy("key").agg(*[F.max(c).alias(c) for c in "eau"])
+    open_ = d.where("u is null and (e or a)")
+    dyn = dynamic_matches(open_.select("key"), uses.where("p").select("key", F.lit("dynamic").alias("mode"))).select("key", F.lit(True).alias("d")).distinct()
     d = d.join(dyn, "key", "left")
     status = F.when(F.col("e").isNull() & F.col("a").isNull(), "missing_in_both").when(F.col("u").isNotNull() & F.col("a").isNull(), "missing_ar").when(F.col("u").isNotNull() & F.col("e").isNull(), "missing_en").when(F.col("u").isNotNull(), "used").when(F.col("d").isNotNull(), "dynamic").otherwise("unused")
     return d.select("key", status.alias("status"))

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from glossa.functions import icu
 from glossa.functions import placeholders as ph
 from glossa.functions import text as tx
+from glossa.operators import arabic as ar
 from glossa.operators import findings as fi
 from glossa.operators import glossary as gl
 from glossa.operators import pairs as pr
 from glossa.operators import usage as us
 from glossa.plans.adapters import GLOSSARY, PAIRS, rows
 from glossa.plans.registry import query
+from glossa.session import ship
 from glossa.sources import catalogs as ca
 
 
@@ -35,7 +37,8 @@ def findings(pairs: DataFrame, glossary: DataFrame | None = None, used: DataFram
         _rows(pr.spacing_findings(pairs), "locale_qc", "en", F.col("issue_type"), "", F.col("old"), F.col("new")),
         _rows(wording, "locale_qc", "en", F.col("x.issue_type"), F.col("x.message"), e, F.col("x.new")),
         _rows(pairs.where(tx.is_title_case(e) & ~tx.is_technical(e)), "locale_qc", "en", "capitalization", "", e, tx.sentence_case(e)),
-        _rows(fi.duplicate_values(pairs.where(e.isNotNull()).select("key", e.alias("value"))).withColumn("key", F.explode(F.split("keys", ","))), "locale_qc", "en", "duplicate_value", F.col("keys"), F.col("norm")),
+        _rows(fi.duplicate_keys(pairs.where(e.isNotNull()).select("key", e.alias("value"))), "locale_qc", "en", "duplicate_value", F.concat(F.lit("with "), F.col("first"), F.lit(", "), F.col("n").cast("string"), F.lit(" in all")), F.col("norm")),
+        _rows(ar.findings(pairs).where("issue_type <> 'empty_string'"), "ar_locale_qc", "ar", F.col("issue_type"), F.col("related"), F.col("old"), F.col("new"), F.col("severity")),
         _rows(pr.shape_findings(pairs), "ar_semantic_qc", "ar", F.col("issue_type"), F.col("actions")),
         _rows(marks, "placeholders", "ar", F.col("x.issue_type"), F.col("x.message"), e, "", F.col("x.severity")),
         _rows(messages, "icu_message_audit", "ar", F.col("x"), "", a),
@@ -46,17 +49,18 @@ def findings(pairs: DataFrame, glossary: DataFrame | None = None, used: DataFram
     if used is not None:
         status = us.key_status(pairs.where(e.isNotNull()), pairs.where(a.isNotNull()), used).where("status not in ('used', 'dynamic')")
         parts.append(_rows(status, "localization", "ar", F.when(F.col("status") == "unused", "confirmed_unused_key").otherwise(F.col("status"))))
-    # the order of first-wins rules has to be the same in each run: a hash of what makes the row
-    found = fi.union(parts).withColumn("seq", F.xxhash64("source", "key", "issue_type", "old", "message", "new"))
+    # the order of first-wins rules: by audit, then by key, then by what the row says; so it is the same in each run
+    found = fi.union([p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)])
+    found = found.withColumn("seq", F.struct("_part", "key", "issue_type", "message", "old", "new")).drop("_part")
     return fi.dedupe(fi.normalize(found))
 
 
 def run_audit(spark: SparkSession, en_path: str, ar_path: str, fmt: str = "json", code_path: str | None = None, suffixes: tuple[str, ...] = (".vue", ".tsx", ".php", ".jsx", ".dart", ".ts", ".js"), glossary_path: str | None = None) -> dict[str, DataFrame]:
     """findings, summary and plan of a project's files."""
-    en, ar = ca.read_catalog(spark, en_path, "en", fmt), ca.read_catalog(spark, ar_path, "ar", fmt)
+    ship(spark)
     text = lambda d, n: d.where("value_type = 'string'").select("key", F.col("value").alias(n))
-    pairs = text(en, "en").join(text(ar, "ar"), "key", "full")
-    used = us.normalize_keys(us.scan(ca.read_code(spark, code_path, suffixes)), pairs) if code_path else None
+    pairs = text(ca.read_catalog(spark, en_path, "en", fmt), "en").join(text(ca.read_catalog(spark, ar_path, "ar", fmt), "ar"), "key", "full")
+    used = us.normalize_keys(us.scan(ca.read_code(spark, code_path, suffixes), patterns=us.BUILTIN), pairs) if code_path else None
     found = findings(pairs, ca.read_glossary(spark, glossary_path)[0] if glossary_path else None, used)
     return {"findings": found, "summary": fi.summary(found), "plan": fi.fix_plan(found)}
 

@@ -10,7 +10,7 @@ from glossa.operators import glossary as gl
 from glossa.operators import pairs as pr
 from glossa.plans.adapters import GLOSSARY, GLOSSED, PAIRS, TURNS, rows
 from glossa.plans.registry import query
-from glossa.plans.texts import n_words, shape, strip, tech
+from glossa.plans.texts import _TOKEN, n_words, shape, strip, tech
 
 _E, _A = f"SELECT key, en AS value FROM ({PAIRS}) WHERE en IS NOT NULL", f"SELECT key, ar AS value FROM ({PAIRS}) WHERE ar IS NOT NULL"
 
@@ -62,7 +62,7 @@ def empty_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""SELECT key, 'whitespace' AS issue_type, en AS old, {strip('en')} AS new FROM ({PAIRS}) WHERE {strip('en')} <> en UNION ALL
- SELECT key, 'spacing', en, regexp_replace(en, ' {{2,}}', ' ', 'g') FROM ({PAIRS}) WHERE regexp_matches(en, ' {{2,}}') AND NOT regexp_matches(en, '[\n\r\t]') AND NOT regexp_matches(en, '<[^>]+>') AND NOT {tech('en')}""")
+ SELECT key, 'spacing', en, regexp_replace(en, ' {{2,}}', ' ', 'g') FROM ({PAIRS}) WHERE regexp_matches(en, ' {{2,}}') AND NOT regexp_matches(en, '[\n\r\t]') AND NOT regexp_matches(en, '<[^>]+>') AND NOT regexp_matches(en, '{_TOKEN}') AND NOT {tech('en')}""")
 def spacing_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.spacing_findings(rows(spark, sf_dir, PAIRS))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
-_MODULES = ("texts", "pairs", "findings", "review", "decisions", "usage", "queue", "reports", "audit")
+_MODULES = ("texts", "arabic", "pairs", "findings", "review", "decisions", "usage", "queue", "reports", "records", "audit")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable:

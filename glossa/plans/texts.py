@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +72,8 @@ def csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wording_sql() -> str:
-    one = [rf"SELECT key, '{t}' AS issue_type, '{m}' AS message, en AS old, regexp_replace(en, '(?i)(^|[^\p{{L}}\p{{N}}_]){p}($|[^\p{{L}}\p{{N}}_])', '\1{r}\2', 'g') AS new FROM p WHERE regexp_matches(en, '(?i)(^|[^\p{{L}}\p{{N}}_]){p}($|[^\p{{L}}\p{{N}}_])')" for t, p, r, m in tx.WORDING]
+    word = lambda p: re.escape(p).replace("\\ ", " ").replace("'", "''")
+    one = [rf"SELECT key, '{t}' AS issue_type, '{m}' AS message, en AS old, regexp_replace(en, '(?i)(^|[^\p{{L}}\p{{N}}_]){word(p)}($|[^\p{{L}}\p{{N}}_])', '\1{r}\2', 'g') AS new FROM p WHERE regexp_matches(en, '(?i)(^|[^\p{{L}}\p{{N}}_]){word(p)}($|[^\p{{L}}\p{{N}}_])')" for t, p, r, m in tx.WORDING]
     return f"WITH p AS (SELECT key, en FROM ({PAIRS}) WHERE NOT {tech('en')} AND NOT regexp_matches(en, '[<>]')) " + " UNION ALL ".join(one)
 
 

@@ -68,3 +68,73 @@ def shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT key FROM ({_CODE_EN}) UNION SELECT key FROM ({_CODE_AR}) UNION SELECT key FROM ({_USED})")
 def all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir, _CODE_EN).union(rows(spark, sf_dir, _CODE_AR)).union(_used(spark, sf_dir).select("key")).distinct()
+
+
+#: One line of code for each pattern, in several frameworks.
+CODE = """SELECT p_partkey AS id, CASE CAST(p_partkey % 27 AS INT)
+  WHEN 0 THEN concat('ElevatedButton(child: Text("home.', CAST(p_size AS STRING), '".tr))')
+  WHEN 1 THEN 'final s = labels.save.tr;'
+  WHEN 2 THEN concat('tr("k.', CAST(p_size AS STRING), '") + tr(name)')
+  WHEN 3 THEN 'AlertDialog(title: translate("dlg.title"))'
+  WHEN 4 THEN 'showDialog(translate(key, 2))'
+  WHEN 5 THEN 'getTranslated("user.name")'
+  WHEN 6 THEN 'SnackBar(lang.translate("done.saved"))'
+  WHEN 7 THEN 'lang.translate(code)'
+  WHEN 8 THEN 'translate(key: "orders.paid")'
+  WHEN 9 THEN 'translate(key: $status)'
+  WHEN 10 THEN concat('{{ __("auth.', CAST(p_size AS STRING), '") }}')
+  WHEN 11 THEN '{{ __($message) }}'
+  WHEN 12 THEN '@lang("site.title") @lang($other)'
+  WHEN 13 THEN 'trans("mail.body"); trans($view)'
+  WHEN 14 THEN '<p>{t("nav.home")}</p> <b>{t(label)}</b>'
+  WHEN 15 THEN 'i18n.t("a.b") + i18n.t(x)'
+  WHEN 16 THEN '{{ $t("vue.key") }} {{ $t(item) }}'
+  WHEN 17 THEN '"status_${state}".tr'
+  WHEN 18 THEN '"error_" + code'
+  WHEN 19 THEN 'prefix + "_title"'
+  WHEN 20 THEN '"a_" + kind + "_z"'
+  WHEN 21 THEN 'TextField(hintText: t("form.name"))'
+  WHEN 22 THEN 'TextFormField(labelText: t("form.mail"))'
+  WHEN 23 THEN 'AppBar(title: t("screen.main"))'
+  WHEN 24 THEN 'push(notification_title: t("push.t"), failed: true)'
+  WHEN 25 THEN 'showModal(t("modal.text"), onPress: submit)'
+  ELSE concat('int n = ', CAST(p_size AS STRING), ';') END AS code FROM part"""
+
+
+def _builtin_sql() -> str:
+    out = []
+    for family, mode, rx in us.BUILTIN:
+        plain = rx.replace(r"(?<![\w.$])", r"(?:^|[^\w.$])").replace(us._ARG, r"""([^'"\s)][^)\r\n]*?)\s*[,)]""").replace("'", "''")
+        found = f"regexp_extract_all(code, '{plain}', 1)"
+        if us._KEY in rx:
+            found = f"list_transform(list_zip({found}, regexp_extract_all(code, '{plain}', 2)), lambda x: CASE WHEN x[1] = '' THEN x[2] ELSE x[1] END)"
+        out.append(f"SELECT id, '{family}' AS family, '{mode}' AS mode, unnest({found}) AS key FROM ({CODE})")
+    return " UNION ALL ".join(out)
+
+
+@query(_builtin_sql())
+def usage_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return us.scan(rows(spark, sf_dir, CODE), patterns=us.BUILTIN).drop("code")
+
+
+def _has(*words: str) -> str:
+    return "(" + " OR ".join(f"contains(c, '{w}')" for w in words) + ")"
+
+
+_LOCATION = f"""CASE WHEN {_has('snackbar', 'flushbar', 'scaffoldmessenger')} THEN 'snackbar' WHEN {_has('toast')} THEN 'toast' WHEN {_has('notification_title')} THEN 'notification_title' WHEN {_has('notification_body', 'pushbody')} THEN 'notification_body'
+ WHEN {_has('subtitle')} THEN 'subtitle' WHEN {_has('helper')} THEN 'helper_text' WHEN {_has('hinttext', 'placeholder')} THEN 'form_hint' WHEN {_has('labeltext', 'formfield', 'textfield')} THEN 'form_label'
+ WHEN {_has('alertdialog')} AND {_has('title')} THEN 'dialog_title' WHEN {_has('dialog', 'modal')} THEN 'dialog_body' WHEN {_has('appbar', 'title:', 'screen_title')} THEN 'title' WHEN {_has('elevatedbutton', 'textbutton', 'outlinedbutton', 'iconbutton', 'button(')} THEN 'button' ELSE 'unknown' END"""
+
+
+@query(f"""WITH l AS (SELECT id, c, {_LOCATION} AS location FROM (SELECT id, lower(code) AS c FROM ({CODE})))
+ SELECT id, location, CASE WHEN location IN ('dialog_title', 'dialog_body') THEN 'dialog' WHEN location IN ('notification_title', 'notification_body') THEN 'notification' WHEN location IN ('snackbar', 'toast') THEN 'feedback' WHEN location IN ('form_label', 'form_hint', 'helper_text') THEN 'form' WHEN location IN ('title', 'subtitle') THEN 'screen' WHEN location = 'button' THEN 'action' ELSE 'generic' END AS surface,
+ CASE WHEN location IN ('button', 'form_label', 'title', 'dialog_title', 'notification_title') THEN 'label' WHEN location IN ('form_hint', 'helper_text', 'subtitle', 'dialog_body', 'notification_body', 'snackbar', 'toast') THEN 'message' ELSE 'body' END AS role,
+ CASE WHEN regexp_matches(c, 'save|submit|continue|next|retry|confirm|approve|send|delete|add|create|tap|click|press') THEN 'action' WHEN regexp_matches(c, 'error|failed|warning|invalid|required|success|done') THEN 'status' ELSE 'inform' END AS action, CASE WHEN contains(c, 'user') THEN 'role_specific' ELSE 'general' END AS audience FROM l""")
+def usage_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, CODE).select("id", us.attributes(F.col("code"), ("user",)).alias("x")).select("id", "x.*")
+
+
+@query(f"SELECT u.id, u.key FROM ({_builtin_sql()}) u WHERE u.mode = 'static' AND u.key IN (SELECT concat('k.', CAST(p_size AS STRING)) FROM part WHERE p_size < 20)")
+def usage_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = rows(spark, sf_dir, "SELECT concat('k.', CAST(p_size AS STRING)) AS key FROM part WHERE p_size < 20")
+    return us.scan(rows(spark, sf_dir, CODE), patterns=us.BUILTIN).where("mode = 'static'").join(wanted, "key", "left_semi").select("id", "key")

@@ -144,7 +144,7 @@ def read_code(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> Data
     """(path, line, code) of all source files with one of the suffixes."""
     glob = "*{" + ",".join(suffixes) + "}"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    text = F.decode("content", "UTF-8")
+    text = F.make_valid_utf8(F.col("content").cast("string"))  # bytes that aren't UTF-8 become U+FFFD
     return files.select("path", F.posexplode(F.split(text, "\r?\n")).alias("line", "code")).select("path", (F.col("line") + 1).alias("line"), "code")
 
 

@@ -111,8 +111,8 @@ def markdown(summary: DataFrame, top: DataFrame) -> str:
 
 
 def append_run(history: DataFrame, run: DataFrame, most: int = 500) -> DataFrame:
-    """The newest runs of each project after a run is added."""
-    k = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("ts")))
+    """The newest runs (project, ts, id, …) of each project after a run is added; of the same time the greater id."""
+    k = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("ts"), F.desc("id")))
     return history.unionByName(run, allowMissingColumns=True).withColumn("_k", k).where(F.col("_k") <= most).drop("_k")
 
 
