@@ -581,6 +581,46 @@ def test_langid(spark):
     assert langid.fit(docs(spark, [])) is None and langid.accept(odd, None).count() == 0
 
 
+def test_langid_equals_loop_over_bytes():
+    """predict() against the network's equations, byte by byte, in float64; the state begins anew with each segment."""
+    net = langid.Network(["a", "b", "und"], hidden=5, seed=3)
+    p, h = {k: v.astype(float) for k, v in net.p.items()}, 5
+    texts = [b"", b"x", prose(4, random.Random(1)).encode(), prose(60, random.Random(2)).encode(), bytes(range(256))]
+    mean, count, size = langid.predict(net, texts)
+    assert size.tolist() == list(map(len, texts)) and any(n > 2 * langid.SEGMENT for n in size)
+    gate = lambda v: np.clip(0.25 * v + 0.5, 0, 1)
+    for i, t in enumerate(texts):
+        total, votes = np.zeros(3), np.zeros(3, int)
+        for s in range(0, len(t), langid.SEGMENT):
+            seg, states = t[s : s + langid.SEGMENT], {}
+            for d in "fb":
+                x, out = np.zeros(h), {}
+                for k in range(len(seg)) if d == "f" else range(len(seg) - 1, -1, -1):
+                    a, u = p["E" + d][seg[k]], x @ p["U" + d]
+                    z, r = gate(a[:h] + u[:h]), gate(a[h : 2 * h] + u[h : 2 * h])
+                    n = np.clip(a[2 * h :] + r * (u[2 * h :] + p["c" + d]), -1, 1)
+                    x = out[k] = (1 - z) * n + z * x
+                states[d] = out
+            for k in range(len(seg)):
+                e = np.exp(np.r_[states["f"][k], states["b"][k]] @ p["R"] + p["r"])
+                total += e / e.sum()
+                votes[e.argmax()] += 1
+        assert np.allclose(mean[i], total / max(1, len(t)), atol=1e-5) and count[i].tolist() == votes.tolist()
+
+
+def test_langid_rejects_noise_and_keeps_single_words(spark):
+    """Noise of kinds that training makes, drawn anew, is rejected; rows of one clean word are kept. The share of each is asserted, as both are held-out."""
+    rng, g = random.Random(8), np.random.default_rng(99)
+    words = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(120)] for k, letters in (("xx", "aeilmnorst"), ("yy", "bdfghkpuwz"))}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(30)), k) for i, k in enumerate(["xx", "yy"] * 100)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    noise = [b.decode("latin-1") for b in langid._noise(g, 100)]
+    single = [w for k in words for w in words[k][:50]]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(noise + single)], "doc_id bigint, text string")
+    ok = {r.doc_id: r.accepted for r in langid.identify(d, net).collect()}
+    assert np.mean([ok[i] for i in range(100)]) <= 0.05 and np.mean([ok[i] for i in range(100, 200)]) >= 0.95
+
+
 def test_langid_gradient():
     net = langid.Network(["a", "b"], hidden=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -679,6 +719,27 @@ def test_components(spark):
     assert got == {x: root(x) for x in list(parent)}
 
 
+def test_pipeline_odd(spark, corpus, tmp_path):
+    """Each stage on nulls, empty and long texts, ties, repeated rows, extra columns with clashing names, and an empty table."""
+    import corpus_pipeline
+
+    d = docs(spark, corpus[:60] + ODD)
+    for extra in ("id", "d", "h", "key", "position", "group_id", "_accepted", "spans"):
+        d = d.selectExpr("*", f"concat('{extra} ', doc_id) AS {extra}")
+    rows = Counter(map(str, d.collect()))
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, d, str(tmp_path))
+        assert out.columns == d.columns, name
+        kept = [r for r in out.collect()]
+        assert all(r.id is None if r.doc_id is None else r.id == f"id {r.doc_id}" for r in kept), name
+        if name in ("language ID", "SimHash near-dedup"):
+            assert not Counter(map(str, kept)) - rows, name
+        assert f(spark, d.limit(0), str(tmp_path)).count() == 0, name
+    out = corpus_pipeline.tokens(spark, d, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in d.collect())
+    assert corpus_pipeline.tokens(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, corpus, tmp_path):
     import corpus_pipeline
 
