@@ -17,7 +17,7 @@ PATTERNS = [
     ("concat", "dynamic", r"""\bt\(["']([A-Za-z0-9_.-]+)["'] \+ """),
 ]
 _KEY = r"""(?:'([^'"\r\n]+)'|"([^'"\r\n]+)")"""
-_ARG = r"""(?!['"])([^)\r\n]+?)\s*[,)]"""
+_ARG = r"""(?![\s'"])([^)\r\n]+?)\s*[,)]"""
 
 
 def _call(head: str, key: str, dynamic: str, name: str, prefix: str = "") -> list[tuple[str, str, str]]:

@@ -70,7 +70,7 @@ def all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir, _CODE_EN).union(rows(spark, sf_dir, _CODE_AR)).union(_used(spark, sf_dir).select("key")).distinct()
 
 
-#: One line of code for each pattern, in several frameworks.
+#: One line of code for each pattern, in several frameworks. The dollar and the brace are apart, as Spark's SQL would take them for a variable.
 CODE = """SELECT p_partkey AS id, CASE CAST(p_partkey % 27 AS INT)
   WHEN 0 THEN concat('ElevatedButton(child: Text("home.', CAST(p_size AS STRING), '".tr))')
   WHEN 1 THEN 'final s = labels.save.tr;'
@@ -89,7 +89,7 @@ CODE = """SELECT p_partkey AS id, CASE CAST(p_partkey % 27 AS INT)
   WHEN 14 THEN '<p>{t("nav.home")}</p> <b>{t(label)}</b>'
   WHEN 15 THEN 'i18n.t("a.b") + i18n.t(x)'
   WHEN 16 THEN '{{ $t("vue.key") }} {{ $t(item) }}'
-  WHEN 17 THEN '"status_${state}".tr'
+  WHEN 17 THEN concat('"status_$', '{state}".tr')
   WHEN 18 THEN '"error_" + code'
   WHEN 19 THEN 'prefix + "_title"'
   WHEN 20 THEN '"a_" + kind + "_z"'
@@ -107,7 +107,7 @@ def _builtin_sql() -> str:
         plain = rx.replace(r"(?<![\w.$])", r"(?:^|[^\w.$])").replace(us._ARG, r"""([^'"\s)][^)\r\n]*?)\s*[,)]""").replace("'", "''")
         found = f"regexp_extract_all(code, '{plain}', 1)"
         if us._KEY in rx:
-            found = f"list_transform(list_zip({found}, regexp_extract_all(code, '{plain}', 2)), lambda x: CASE WHEN x[1] = '' THEN x[2] ELSE x[1] END)"
+            found = f"list_transform(list_zip({found}, regexp_extract_all(code, '{plain}', 2)), lambda x: coalesce(nullif(x[1], ''), x[2]))"
         out.append(f"SELECT id, '{family}' AS family, '{mode}' AS mode, unnest({found}) AS key FROM ({CODE})")
     return " UNION ALL ".join(out)
 
