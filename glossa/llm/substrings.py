@@ -1,8 +1,9 @@
 """Passages that repeat across documents, found by collinear chaining.
 
-1. Seeds: of the K-word shingles of a text, each window of WINDOW shingles gives its least (a shared run of K + WINDOW - 1
-   words always shares a seed).
-2. Join: seeds are shuffled by their hash and sorted; each occurrence is linked to the document of least id that has the seed: to its occurrence
+1. Seeds: of the K-word shingles of a text, by 32 bits of each word's hash, each window of WINDOW shingles gives its least (a shared run of K + WINDOW - 1
+   words always shares a seed). A seed that one document alone has links nothing and isn't shuffled: chunks of documents send their distinct seeds' prints
+   of PRINT bits to buckets by the hash, and get a bit back for each, whether another chunk has it. Prints that agree by chance let a seed through in vain; none is lost.
+2. Join: the seeds that are left are shuffled by their hash and sorted; each occurrence is linked to the document of least id that has the seed: to its occurrence
    of the same rank, and to its first. Links are at most twice as many as occurrences, however many documents share a passage: no pairs among the sharers are made, and none are
    dropped, as all of them meet at the first document.
 3. Chains: links of a pair of documents that follow one another on a diagonal are segments; segments are chained in
@@ -27,15 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import WORD, fresh, lean, shingle_hashes, word_hashes
+from glossa.llm.common import WORD, cut, fresh, lean, shingle_hashes, word_hashes
 
 K, WINDOW = 6, 1
 MIN_WORDS, IDENTITY = 50, 0.75
 GAP_COST, MAX_GAP, LEAST_SPAN = 0.25, 40, 8
 _SLACK, _EDGE = 6, 64
+PRINT = 28
+_CHUNK_WORDS, _BUCKET_WORDS = 1 << 20, 1 << 22
 _COSTS = (1, 2, 3)  # of a mismatch, in matches, where ends are extended
 
 
@@ -47,28 +51,174 @@ def _minimizers(h: np.ndarray, window: int) -> np.ndarray:
     return at[np.r_[True, at[1:] != at[:-1]]]
 
 
-def _seeds(k: int, window: int):
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of four bytes, compressed: the first byte of all, then the second of all, and so on."""
+    return pa.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unplanes(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").ravel()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (d, codes) by the chunk: its number, its documents, how many words each has, the different codes, most frequent first, and the place of each word's among them."""
+    held: list[tuple[int, bytes]] = []
+    number, words = TaskContext.get().partitionId() << 32, 0
+
+    def row() -> pa.RecordBatch:
+        ds, codes = zip(*held)
+        vocab, at, count = np.unique(np.frombuffer(b"".join(codes), "<u4"), return_inverse=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order))
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ds], pa.list_(pa.int64())), pa.array([[len(c) // 4 for c in codes]], pa.list_(pa.int32())), pa.array([vocab[order].tobytes()], pa.binary()), pa.array([_planes(place[at])], pa.binary())], ["chunk", "d", "n", "vocab", "data"])
+
+    for b in batches:
+        for d, codes in zip(b.column(0).to_pylist(), b.column(1)):
+            held.append((d, codes.as_py()))
+            words += len(held[-1][1]) // 4
+            if words >= _CHUNK_WORDS:
+                yield row()
+                held, words, number = [], 0, number + 1
+    if held:
+        yield row()
+
+
+def _words(n: np.ndarray, vocab: bytes, data: bytes) -> np.ndarray:
+    """The codes of a chunk's words, of which its documents have n."""
+    return np.frombuffer(vocab, "<u4")[_unplanes(data, int(n.sum()))]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks by the document again: (d, codes) with two bytes for each word."""
+    for b in batches:
+        for d, n, vocab, data in zip(*(b.column(c) for c in ("d", "n", "vocab", "data"))):
+            codes = (_words(n.values.to_numpy(), vocab.as_py(), data.as_py()) >> np.uint32(16)).astype("<u2").tobytes()
+            end = np.cumsum(n.values.to_numpy(), dtype=np.int64) * 2
+            yield pa.RecordBatch.from_arrays([d.values, pa.array([codes[x:y] for x, y in zip(np.r_[0, end], end)], pa.binary())], ["d", "codes"])
+
+
+def _seeds(n: np.ndarray, words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's documents of n words: (hash, document, place) of each seed, in order."""
+    if len(words) < k:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h, owner, begin = shingle_hashes(words.astype(np.uint64), k), np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    if window == 1:
+        at = np.flatnonzero(owner[: len(h)] == owner[k - 1 :])
+    else:
+        at = np.concatenate([x + _minimizers(h[x : x + m - k + 1], window) for x, m in zip(begin, n) if m >= k] or [np.zeros(0, np.int64)])
+    return h[at], owner[at], at - begin[owner[at]]
+
+
+def _keys(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and print of each hash."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)) << np.uint64(PRINT) | h & np.uint64((1 << PRINT) - 1)
+
+
+def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets begin and end in ascending keys."""
+    return np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(PRINT))
+
+
+def _pack(prints: np.ndarray) -> bytes:
+    """Ascending prints as differences."""
+    return _planes(np.diff(prints, prepend=np.uint32(0)))
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unplanes(data, n), dtype=np.uint32)
+
+
+def _prints(k: int, window: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, n, vocab, data in zip(*(b.column(c) for c in ("chunk", "n", "vocab", "data"))):
+                keys = np.sort(_keys(_seeds(n.values.to_numpy(), _words(n.values.to_numpy(), vocab.as_py(), data.as_py()), k, window)[0], buckets))
+                keys = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+                edge, low = _edges(keys, buckets), (keys & np.uint64((1 << PRINT) - 1)).astype(np.uint32)
+                some = np.flatnonzero(np.diff(edge))
+                packed = [_pack(low[x:y]) for x, y in zip(edge[some], edge[some + 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk.as_py())), pa.array(np.diff(edge)[some].astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "chunk", "n", "data"])
+
+    return run
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of prints sorted by bucket: for those of each chunk a bit, whether another chunk has them too; chunks without one have no row."""
+
+    def answer(bucket: int, chunks: list[int], blocks: list[np.ndarray]) -> pa.RecordBatch:
+        v = np.sort(np.concatenate(blocks))
+        twice = v[1:][v[1:] == v[:-1]]
+        rows = []
+        if len(twice):
+            for chunk, own in zip(chunks, blocks):
+                bits = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
+                if bits.any():
+                    rows.append((chunk, np.packbits(bits).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "bucket", "data"])
+
+    bucket, chunks, blocks = None, [], []
+    for b in batches:
+        for new, chunk, n, data in zip(*(b.column(c) for c in ("bucket", "chunk", "n", "data"))):
+            if new.as_py() != bucket:
+                if blocks:
+                    yield answer(bucket, chunks, blocks)
+                bucket, chunks, blocks = new.as_py(), [], []
+            chunks.append(chunk.as_py())
+            blocks.append(_unpack(data.as_py(), n.as_py()))
+    if blocks:
+        yield answer(bucket, chunks, blocks)
+
+
+def _shared(k: int, window: int, buckets: int):
+    """Of chunks, each before its answers: the seeds that another chunk or another document of the chunk has."""
+
+    def seeds(ds: np.ndarray, n: np.ndarray, words: np.ndarray, answers: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        h, owner, p = _seeds(n, words, k, window)
+        keys, of = np.unique(_keys(h, buckets), return_inverse=True)
+        edge = _edges(keys, buckets)
+        first, last = np.full(len(keys), len(n)), np.full(len(keys), -1)
+        first[of[::-1]], last[of] = owner[::-1], owner  # the last of several that are put to one place stays; owners ascend
+        wanted = first != last
+        for bucket, bits in answers:
+            x, y = edge[bucket], edge[bucket + 1]
+            wanted[x:y] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=y - x).astype(bool)
+        keep = wanted[of]
+        return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(ds[owner[keep]]), pa.array(p[keep].astype(np.int32))], ["h", "d", "p"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, answers = None, []
         for b in batches:
-            hs, ps, ns = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-            for t in b.column(1):
-                words = word_hashes(t.as_py())
-                at = np.zeros(0, np.int64)
-                if len(words) >= k:
-                    h = shingle_hashes(words, k)
-                    at = _minimizers(h, window)
-                    hs.append(h[at])
-                    ps.append(at)
-                ns.append(len(at))
-            ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), ns)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(ids), pa.array(np.concatenate(ps).astype(np.int32))], ["h", "d", "p"])
+            for bucket, d, n, vocab, data in zip(*(b.column(c) for c in ("bucket", "d", "n", "vocab", "data"))):
+                if bucket.as_py() >= 0:
+                    answers.append((bucket.as_py(), data.as_py()))
+                    continue
+                if held:
+                    yield seeds(*held, answers)
+                held, answers = (d.values.to_numpy(), n.values.to_numpy(), _words(n.values.to_numpy(), vocab.as_py(), data.as_py())), []
+        if held:
+            yield seeds(*held, answers)
 
     return run
 
 
+def shared_seeds(chunks: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
+    """(h, d, p) of the seeds of chunks (a table that reads the same each time) that several documents have."""
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = chunks.agg(F.sum(F.aggregate("n", F.lit(0).cast("bigint"), lambda x, y: x + y))).first()[0] or 0
+    buckets = max(parts, -(-words // _BUCKET_WORDS))
+    prints = chunks.mapInArrow(lean(_prints(k, window, buckets)), "bucket int, chunk bigint, n int, data binary")
+    answers = prints.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(lean(_answers), "chunk bigint, bucket int, data binary")
+    none = "cast(null as {}) {}".format
+    both = chunks.selectExpr("chunk", "-1 as bucket", "d", "n", "vocab", "data").unionAll(answers.selectExpr("chunk", "bucket", none("array<bigint>", "d"), none("array<int>", "n"), none("binary", "vocab"), "data"))
+    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(lean(_shared(k, window, buckets)), "h bigint, d bigint, p int")
+
+
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Four bytes for each word; the upper two are those of _code."""
     for b in batches:
-        out = [_code(t.as_py()) for t in b.column(1)]
+        out = [(word_hashes(t.as_py()) >> np.uint64(32)).astype("<u4").tobytes() for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["d", "codes"])
 
 
@@ -307,10 +457,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("d"), F.col(text_col).cast("string").alias("t")).where("d is not null and t is not null")
-    seeds = texts.mapInArrow(lean(_seeds(k, window)), "h bigint, d bigint, p int")
-    links = seeds.repartition(parts, "h").sortWithinPartitions("h", "d", "p").mapInArrow(lean(_link), "d bigint, r bigint, g int, p int")
-    chains = links.repartition(parts, "d").sortWithinPartitions("d", "r", "g", "p").mapInArrow(lean(_chains(k, window, LEAST_SPAN)), "d bigint, r bigint, segments array<int>")
-    codes = texts.mapInArrow(lean(_codes), "d bigint, codes binary").groupBy("d").agg(F.min("codes").alias("codes"))
+    least = texts.mapInArrow(lean(_codes), "d bigint, codes binary").groupBy("d").agg(F.min("codes").alias("codes"))
+    chunks = cut(least.mapInArrow(lean(_chunks), "chunk bigint, d array<bigint>, n array<int>, vocab binary, data binary"))
+    links = shared_seeds(chunks, k, window).repartition(parts, "h").sortWithinPartitions("h", "d", "p").mapInArrow(lean(_link), "d bigint, r bigint, g int, p int")
+    chains = cut(links.repartition(parts, "d").sortWithinPartitions("d", "r", "g", "p").mapInArrow(lean(_chains(k, window, LEAST_SPAN)), "d bigint, r bigint, segments array<int>"))
+    codes = chunks.mapInArrow(lean(_rows), "d bigint, codes binary")
 
     def around(first: str, last: str) -> tuple[Column, Column]:
         start = F.greatest(F.expr(first) - _EDGE, F.lit(0))

@@ -419,6 +419,41 @@ def test_passages_recall(spark):
         assert len(found & set(own)) >= 0.9 * len(own), g
 
 
+@pytest.mark.parametrize("window, chunk", [(1, 1 << 20), (1, 500), (4, 500)])
+def test_seeds_of_one_document_are_not_shuffled(spark, corpus, monkeypatch, window, chunk):
+    """Of all seeds those go to the shuffle that several documents have, all of them, in one chunk or in several."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(substrings, "_CHUNK_WORDS", chunk)
+    codes = [(i, (common.word_hashes(t) >> np.uint64(32)).astype("<u4").tobytes()) for i, t, _ in corpus] + [(900, b""), (901, b"\1\2\3\4" * 5000), (902, b"\1\2\3\4" * 5), (903, b"\1\2\3\4" * 7)]
+    monkeypatch.setattr(substrings.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*codes)], ["d", "codes"])
+    schema = "chunk bigint, d array<bigint>, n array<int>, vocab binary, data binary"
+    made = [r for b in substrings._chunks(iter([batch])) for r in b.to_pylist()]
+    assert (len(made) > 5) == (chunk == 500)
+    chunks = spark.createDataFrame([[r[c] for c in ("chunk", "d", "n", "vocab", "data")] for r in made], schema)
+    back = {d: c for b in substrings._rows(iter([pa.RecordBatch.from_pylist(made, pa.schema([("chunk", pa.int64()), ("d", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("vocab", pa.binary()), ("data", pa.binary())]))])) for d, c in zip(*(c.to_pylist() for c in b.columns))}
+    assert back == {d: (np.frombuffer(c, "<u4") >> 16).astype("<u2").tobytes() for d, c in codes}
+    every = []
+    for d, c in codes:
+        h = common.shingle_hashes(np.frombuffer(c, "<u4").astype(np.uint64), 6) if len(c) >= 24 else np.zeros(0, np.uint64)
+        every += [(int(h[p : p + 1].view(np.int64)[0]), d, int(p)) for p in substrings._minimizers(h, window)]
+    owners = {}
+    for h, d, _ in every:
+        owners.setdefault(h, set()).add(d)
+    want = Counter(s for s in every if len(owners[s[0]]) > 1)
+    got = Counter(tuple(r) for r in substrings.shared_seeds(chunks, 6, window).collect())
+    assert 0 < len(want) < len(every) and got == want
+
+
+def test_words_of_equal_short_codes_are_no_passage(spark):
+    """Two words whose hashes agree in their upper 16 bits: a text of one shares no passage with a text of the other."""
+    by: dict[int, str] = {}
+    pair = next((by[c], w) for w in (f"w{i}" for i in range(100_000)) for c in [int(common.word_hashes(w)[0] >> np.uint64(48))] if by.setdefault(c, w) != w)
+    rows = [(1, " ".join([pair[0]] * 200), "a"), (2, " ".join([pair[1]] * 200), "a"), (3, " ".join([pair[0]] * 200), "a")]
+    assert {(r.doc_id, r.other_id) for r in substrings.passages(docs(spark, rows)).collect()} == {(3, 1)}
+
+
 def test_links_over_batches():
     import pyarrow as pa
 
