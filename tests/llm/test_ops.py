@@ -446,6 +446,24 @@ def test_seeds_of_one_document_are_not_shuffled(spark, corpus, monkeypatch, wind
     assert 0 < len(want) < len(every) and got == want
 
 
+def test_pipeline_stage_shuffles_no_seed_of_one_document(spark, monkeypatch):
+    import corpus_pipeline
+
+    sent, own = [], substrings.shared_seeds
+
+    def counted(*a):
+        out = own(*a)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(substrings, "shared_seeds", counted)
+    rng = random.Random(12)
+    alone = [(i, prose(100, rng), "a") for i in range(40)]
+    assert corpus_pipeline.passages(spark, docs(spark, alone), "").count() == 40
+    assert corpus_pipeline.passages(spark, docs(spark, [*alone, (40, alone[3][1], "a")]), "").count() == 40
+    assert sent == [0, 2 * 95]
+
+
 def test_words_of_equal_short_codes_are_no_passage(spark):
     """Two words whose hashes agree in their upper 16 bits: a text of one shares no passage with a text of the other."""
     by: dict[int, str] = {}
