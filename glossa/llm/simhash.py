@@ -7,7 +7,7 @@ the connected components of these pairs.
 
 The join loses nothing. The 64 bits are cut into two halves of BLOCKS blocks; two fingerprints that differ in at most k < 10 bits have a half with at
 most four differences, and so agree on four of its blocks. Of any four blocks two lie in one of three sets of blocks, so a fingerprint is sent to one bucket for each pair of blocks of
-a set: 14 buckets, of 8 bits. (Beyond MANY fingerprints it is sent to one for each four blocks: 140 buckets, of 16 bits.) Within its buckets a task goes through the pairs of further blocks.
+a set: 14 buckets, of 8 bits. (Beyond MANY fingerprints it is sent to one for each four blocks: 140 buckets, of 16 bits.) Within its buckets a task goes through pairs of further blocks; each four blocks come in one bucket only.
 For each it sorts the fingerprints by these blocks and by Gray rank; neighbours are put into nodes of 8, these into nodes of 64;
 a node keeps the bits that all below it share. Pairs of nodes are descended together: the differences
 of bits that both share are added up on the way down, each bit once, and a pair of nodes goes as soon as its
@@ -80,7 +80,11 @@ def tables(many: bool) -> list[tuple[int, list[int]]]:
             out += [(mask(x), [0]) for x in combinations(range(BLOCKS), 4)]
         else:
             sets = [range(0, 3), range(3, 6), range(6, BLOCKS)]
-            out += [(mask(x), [mask(y) for y in combinations([b for b in range(BLOCKS) if b not in x], 2)]) for s in sets for x in combinations(s, 2)]
+            sorts = {x: [] for s in sets for x in combinations(s, 2)}
+            for four in combinations(range(BLOCKS), 4):  # each in one bucket, that of the fewest sorts so far
+                x = min((x for x in sorts if set(x) <= set(four)), key=lambda x: len(sorts[x]))
+                sorts[x].append(mask(tuple(b for b in four if b not in x)))
+            out += [(mask(x), ys) for x, ys in sorts.items()]
     return out
 
 

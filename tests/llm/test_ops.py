@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -197,6 +198,15 @@ def test_simhash_repeated_ids(spark, corpus):
     assert kept == sorted((tuple(r) for r in simhash.deduplicate(d.repartition(3)).collect()), key=str)
 
 
+def test_simhash_sorts_each_four_blocks_once():
+    """In one bucket, so that no pair is searched twice, and none of the four blocks of either half is left out."""
+    for many in (False, True):
+        fours = [bucket | own for bucket, sorts in simhash.tables(many) for own in sorts]
+        width = 32 // simhash.BLOCKS
+        want = {sum(((1 << width) - 1) << half + width * b for b in c) for half in (0, 32) for c in combinations(range(simhash.BLOCKS), 4)}
+        assert len(fours) == len(set(fours)) == 140 and set(fours) == want
+
+
 # 3
 
 
