@@ -9,8 +9,10 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 _U = np.uint64
 _CACHE_MOST = 400_000
+_RUN_CHARS = 1 << 19
 
 
 class _Hashes(dict):
@@ -48,6 +51,80 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
+@cache
+def _word_chars() -> np.ndarray:
+    """Of each code point, whether WORD takes it."""
+    out = np.zeros(0x110000, bool)
+    for m in WORD.finditer(np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")):
+        out[m.start() : m.end()] = True
+    return out
+
+
+_P = [_U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _turn(h: np.ndarray, n: int) -> np.ndarray:
+    return h << _U(n) | h >> _U(64 - n)
+
+
+def _xxh64(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """xxHash64 of the slices of data, side by side."""
+    raw = np.frombuffer(data + bytes(8), np.uint8)
+    eight, four = (np.ndarray(len(raw) - w + 1, f"<u{w}", raw, strides=(1,)) for w in (8, 4))
+    h = _P[4] + size.astype(np.uint64)
+    for i in range(0, 24, 8):
+        at = np.flatnonzero(size >= i + 8)
+        h[at] = _turn(h[at] ^ _turn(eight[start[at] + i] * _P[1], 31) * _P[0], 27) * _P[0] + _P[3]
+    at, rest = np.flatnonzero(size & 4), start + (size & ~7)
+    h[at] = _turn(h[at] ^ four[rest[at]].astype(np.uint64) * _P[0], 23) * _P[1] + _P[2]
+    rest += size & 4
+    for i in range(3):
+        at = np.flatnonzero(size & 3 > i)
+        h[at] = _turn(h[at] ^ raw[rest[at] + i].astype(np.uint64) * _P[4], 11) * _P[0]
+    h ^= h >> _U(33)
+    h *= _P[1]
+    h ^= h >> _U(29)
+    h *= _P[2]
+    h ^= h >> _U(32)
+    for i in np.flatnonzero(size >= 32):  # these have another form
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + size[i]])
+    return h
+
+
+def all_word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """word_hashes of each text, many texts at a time."""
+    out: list[np.ndarray] = []
+    for at, end in _runs([len(t) for t in texts], _RUN_CHARS):
+        low = [t.lower() for t in texts[at:end]]
+        odd = [i for i, t in enumerate(low) if len(t) != len(texts[at + i])]
+        for i in odd:
+            low[i] = ""
+        joined = "\n".join(low)  # no word goes on from one text to the next
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        place = np.r_[0, np.cumsum(1 + (code > 0x7F).view(np.uint8) + (code > 0x7FF) + (code > 0xFFFF), dtype=np.int64)]
+        inside = np.r_[False, _word_chars()[code], False]
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, size = place[edge[::2]], place[edge[1::2]] - place[edge[::2]]
+        text = np.cumsum([0, *(len(t) + 1 for t in low)])
+        cut_at = np.searchsorted(edge[::2], text)
+        h = _xxh64(joined.encode("utf-8", "surrogatepass"), start, size)
+        found = [h[x:y] for x, y in zip(cut_at, cut_at[1:])]
+        for i in odd:
+            found[i] = word_hashes(texts[at + i])
+        out += found
+    return out
+
+
+def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of places with sizes of about ``most`` in all; a larger one ends a run."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes, 1):
+        held += n
+        if held >= most or i == len(sizes):
+            yield first, i
+            first, held = i, 0
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words; a text of fewer words is one shingle, an empty one none."""
     k = min(k, len(words))
@@ -68,6 +145,7 @@ def lean(run: Callable) -> Callable:
         yield from run(batches)
         _hashes.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)
         except AttributeError:  # not the C library that has it

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import components, cut, fresh, lean, mix64, shingle_hashes, word_hashes
+from glossa.llm.common import all_word_hashes, components, cut, fresh, lean, mix64, shingle_hashes, word_hashes
 
 K = 9
 VERIFY = 15
@@ -47,8 +47,11 @@ def _sign(h: np.ndarray, weight: np.ndarray) -> int:
 
 def fingerprint(text: str | None) -> tuple[int, int] | None:
     """The two SimHashes of a text; None if it has no words."""
-    words = word_hashes(text) if text else None
-    if words is None or not len(words):
+    return _fingerprint(word_hashes(text)) if text else None
+
+
+def _fingerprint(words: np.ndarray) -> tuple[int, int] | None:
+    if not len(words):
         return None
     word, n = np.unique(words, return_counts=True)
     pairs = shingle_hashes(words, 2)
@@ -57,7 +60,7 @@ def fingerprint(text: str | None) -> tuple[int, int] | None:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [fingerprint(t.as_py()) or (None, None) for t in b.column(1)]
+        found = [_fingerprint(w) or (None, None) for w in all_word_hashes([t or "" for t in b.column(1).to_pylist()])]
         one, two = zip(*found) if found else ((), ())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["id", "h", "f", "g"])
 

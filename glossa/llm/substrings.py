@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import WORD, cut, fresh, lean, shingle_hashes, word_hashes
+from glossa.llm.common import WORD, all_word_hashes, cut, fresh, lean, shingle_hashes
 
 K, WINDOW = 6, 1
 MIN_WORDS, IDENTITY = 50, 0.75
@@ -218,13 +218,13 @@ def shared_seeds(chunks: DataFrame, k: int = K, window: int = WINDOW) -> DataFra
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Four bytes for each word; the upper two are those of _code."""
     for b in batches:
-        out = [(word_hashes(t.as_py()) >> np.uint64(32)).astype("<u4").tobytes() for t in b.column(1)]
+        out = [(h >> np.uint64(32)).astype("<u4").tobytes() for h in all_word_hashes(b.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["d", "codes"])
 
 
-def _code(text: str) -> bytes:
-    """Two bytes for each word."""
-    return (word_hashes(text) >> np.uint64(48)).astype("<u2").tobytes()
+def _code(words: np.ndarray) -> bytes:
+    """Two bytes for each word, given their hashes."""
+    return (words >> np.uint64(48)).astype("<u2").tobytes()
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,12 +493,12 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _cut_all(texts: pd.Series, spans: pd.Series, sigs: pd.Series) -> pd.Series:
-    def one(t, s, sig):
-        if t is None or s is None or zlib.crc32(_code(t)) != sig:
-            return t
-        return cut_words(t, [(x["s"], x["e"]) for x in s])
-
-    return pd.Series([one(*x) for x in zip(texts, spans, sigs)], dtype=object)
+    some = [i for i, (t, s) in enumerate(zip(texts, spans)) if t is not None and s is not None]
+    out = texts.tolist()
+    for i, h in zip(some, all_word_hashes([out[i] for i in some])):
+        if zlib.crc32(_code(h)) == sigs.iloc[i]:
+            out[i] = cut_words(out[i], [(x["s"], x["e"]) for x in spans.iloc[i]])
+    return pd.Series(out, dtype=object)
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **options) -> DataFrame:

@@ -763,6 +763,42 @@ def test_mixing_odd(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("run", [1, 50, 1 << 19])
+def test_words_hashed_side_by_side(monkeypatch, run):
+    """As one by one: letters of one to four bytes, words of all lengths, of another case's length, lone surrogates, empty texts."""
+    rng = random.Random(4)
+    parts = [chr(c) for c in [*range(32, 127)] * 3 + [0xDF, 0x130, 0x3A3, 0x3C2, 0x1F600, 0x10400, 0x4E2D, 0x300, 0xAD, 0xD800, 0x660, 0x2160, 10, 0, 0x2028, 0x10FFFF] * 6] + ["a" * n for n in (4, 7, 8, 9, 15, 16, 24, 31, 32, 33, 70)]
+    texts = ["", *("".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(2000)), ""]
+    monkeypatch.setattr(common, "_RUN_CHARS", run)
+    got = common.all_word_hashes(texts)
+    assert [x.tolist() for x in got] == [common.word_hashes(t).tolist() for t in texts]
+    assert common.all_word_hashes([]) == []
+
+
+def test_dedup_hashes_words_side_by_side(spark, corpus, monkeypatch):
+    """The pipeline's near-dedup and substring dedup don't take the words of their documents one at a time."""
+    import pandas as pd
+    import pyarrow as pa
+
+    texts = [t for _, t, _ in corpus]
+    want = [simhash.fingerprint(t) for t in texts], [common.word_hashes(t) for t in texts]
+    spans = [[{"s": 0, "e": 3}]] * len(texts)
+    sigs = pd.Series([substrings.zlib.crc32((h >> np.uint64(48)).astype("<u2").tobytes()) for h in want[1]])
+
+    def one_at_a_time(self, word):
+        raise AssertionError(word)
+
+    common._hashes.clear()
+    monkeypatch.setattr(common._Hashes, "__missing__", one_at_a_time)
+    ids = pa.array(range(len(texts)), pa.int64())
+    got = next(simhash._fingerprints(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts), ids], ["id", "t", "h"])])))
+    assert list(zip(got.column(2).to_pylist(), got.column(3).to_pylist())) == want[0]
+    got = next(substrings._codes(iter([pa.RecordBatch.from_arrays([ids, pa.array(texts)], ["d", "t"])])))
+    assert got.column(1).to_pylist() == [(h >> np.uint64(32)).astype("<u4").tobytes() for h in want[1]]
+    left = substrings._cut_all(pd.Series(texts), pd.Series(spans), sigs)
+    assert left.tolist() == [" ".join(t.split()[3:]) for t in texts]
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5), (None, 3)]
