@@ -36,8 +36,9 @@ SYMBOLS, OUT, CLASSES, WIDTH, STRIDE, ROUNDS = 4096, 4096, 64, 16, 16, 1
 SHARD_IDS = 1 << 21
 _BATCH, _RATE, _PARAM_BLOCKS, _SCORED = 128, 0.015, 16, 8192
 _TEXT_BYTES, _ID_BYTES = 12_000_000, 1_000_000
+_BLOCK = 32  # outcomes of small classes in one product
 _NO = np.float32(-1e9)
-_SAFE = 60.0  # logits up to here need no shift before the exponential
+_SAFE, _LEAST = 40.0, 1e-20  # logits up to here, and sums of exponentials from here to 1 / _LEAST, need no shift before the exponential
 
 
 class Ranking:
@@ -71,99 +72,160 @@ def _offsets(stride: int) -> np.ndarray:
     return (np.arange(stride, 2 * stride)[:, None] - np.arange(2 * stride)[None]).astype(np.int64)
 
 
-def _exp(z: np.ndarray) -> np.ndarray:
-    """exp(z) in place, up to a factor for each row, and its sums over the last axis."""
-    if z.size and z.max() > _SAFE:
+def _exp(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """exp(z) in place, up to a factor for each row; own has a logit of each row, which so keeps its sum above zero."""
+    if z.size and (z.max() > _SAFE or own.min() < -_SAFE):
         z -= z.max(-1, keepdims=True)
-    np.exp(z, out=z)
-    return z @ np.ones(z.shape[-1], z.dtype)
+    return np.exp(z, out=z)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z /= _exp(z)[..., None]
-    return z
+def _total(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[-1], z.dtype)
 
 
-def _by_class(cls: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
-    """An order of the rows by class, and for each class of more than one outcome its rows in that order and its outcomes."""
-    order = np.argsort(cls.astype(np.int16), kind="stable")
-    n = np.bincount(cls, minlength=len(edge) - 1)
-    end = np.cumsum(n)
-    return order, [(slice(end[c] - n[c], end[c]), slice(edge[c], edge[c + 1])) for c in np.flatnonzero((n > 0) & (np.diff(edge) > 1))]
+def _weights(x: np.ndarray, m: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """exp(x @ m + mask) up to a factor for each row, and its sums."""
+    for shift in (False, True):
+        z = x @ m
+        if mask is not None:
+            z += mask
+        if shift:
+            z -= z.max(-1, keepdims=True)
+        t = _total(np.exp(z, out=z))
+        if not t.size or (t.min() > _LEAST and t.max() < 1 / _LEAST):
+            break
+    return z, t
+
+
+def _and_one(x: np.ndarray) -> np.ndarray:
+    """x with a last column of ones, by which a product also adds a bias or sums up."""
+    out = np.ones((*x.shape[:-1], x.shape[-1] + 1), x.dtype)
+    out[..., :-1] = x
+    return out
+
+
+def _blocks(edge: np.ndarray, most: int) -> list[tuple[int, int, slice, np.ndarray | None]]:
+    """Runs of classes that share a product of matrices: adjacent ones of up to ``most`` outcomes in all, and larger ones alone; no class of one outcome is alone.
+
+    Each is its classes from and to, their outcomes, and for several what is added to a row's logits for each class, so that the row has outcomes of its own class only.
+    """
+    out, first, n = [], 0, len(edge) - 1
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(edge, edge[first] + most, "right")) - 1)
+        u = slice(int(edge[first]), int(edge[last]))
+        if last == first + 1:
+            mask = None
+        else:
+            of = np.repeat(np.arange(last - first), np.diff(edge[first : last + 1]))
+            mask = np.where(of == np.arange(last - first)[:, None], np.float32(0), _NO)
+        if u.stop - u.start > last - first:
+            out.append((first, last, u, mask))
+        first = last
+    return out
 
 
 class Network:
     """Symbols: 0 .. symbols - 1, then the beginning of a text, then padding."""
 
-    def __init__(self, rank: Ranking, width: int = WIDTH, stride: int = STRIDE, seed: int = 1):
+    def __init__(self, rank: Ranking, width: int = WIDTH, stride: int = STRIDE, seed: int = 1, block: int = _BLOCK):
         g = np.random.default_rng(seed)
         self.begin, self.pad, self.width, self.stride = rank.symbols, rank.symbols + 1, width, stride
-        self.edge, self.of = rank.edge, rank.of
+        self.edge, self.of, self.blocks = rank.edge, rank.of, _blocks(rank.edge, block)
+        self.within = np.zeros(len(rank.of), np.int64)  # of each outcome, its place in its block
+        for _, _, u, _ in self.blocks:
+            self.within[u] = np.arange(u.stop - u.start)
         p = {"E": g.normal(0, 0.3, (rank.symbols + 2, width)), **{k: g.normal(0, width**-0.5, (width, width)) for k in "QKVO"}, "D": np.zeros(2 * stride), "W": g.normal(0, 0.05, (width, rank.classes)), "b": rank.prior, "U": g.normal(0, 0.05, (len(rank.of), width)), "c": rank.share}
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
 
     def vector(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
-    def take(self, vector: np.ndarray) -> None:
-        at = 0
+    def take(self, vector: np.ndarray) -> np.ndarray:
+        """Takes the parameters from a vector; returns the copy of it that they are views of."""
+        own, at = vector.astype(np.float32), 0
         for k, v in self.p.items():
-            self.p[k] = vector[at : at + v.size].reshape(v.shape).astype(np.float32)
+            self.p[k] = own[at : at + v.size].reshape(v.shape)
             at += v.size
+        return own
 
     def copy(self) -> Network:
         out = Network.__new__(Network)
         out.__dict__ = self.__dict__ | {"p": {k: v.copy() for k, v in self.p.items()}}
         return out
 
+    def by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[slice, slice, np.ndarray | None]]]:
+        """An order of the outcomes y by class; in that order their classes and places in their blocks; for each block that has any its rows, its outcomes and what is added to their logits."""
+        cls = self.of[y]
+        order = np.argsort(cls.astype(np.uint8 if len(self.edge) <= 257 else np.uint16), kind="stable")
+        cls, end = cls[order], np.r_[0, np.cumsum(np.bincount(cls, minlength=len(self.edge) - 1))].tolist()
+        runs = [(slice(end[x], end[z]), u, None if mask is None else mask[cls[end[x] : end[z]] - x]) for x, z, u, mask in self.blocks if end[x] < end[z]]
+        return order, cls, self.within[y[order]], runs
+
+    @np.errstate(over="ignore")
     def loss(self, s: np.ndarray, y: np.ndarray, text: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy of the outcomes y (batch, inputs), -1 where there is none, after the symbols s of the same text (number) up to there, and gradients."""
-        p, (n, w), scale = self.p, s.shape, np.float32(self.width**-0.5)
+        p, (n, w), d, scale = self.p, s.shape, self.width, np.float32(self.width**-0.5)
         flat = s.ravel()
-        x = p["E"][flat]
-        q, k, v = ((x @ p[m]).reshape(n, w, -1) for m in "QKV")
+        x = _and_one(p["E"])[flat]
+        qkv = np.zeros((d + 1, 3 * d + 1), x.dtype)
+        np.concatenate([p["Q"] * scale, p["K"], p["V"]], 1, out=qkv[:-1, :-1])
+        qkv[-1, -1] = 1  # the last column of v, and of o below, is one
+        q, k, v = np.split((x @ qkv).reshape(n, w, -1), (d, 2 * d), 2)
         dist = np.arange(w)[:, None] - np.arange(w)[None]
         a = q @ k.transpose(0, 2, 1)
-        a *= scale
         a += np.where(dist < 0, _NO, p["D"][np.maximum(dist, 0)])
-        a[text[:, :, None] != text[:, None, :]] = _NO
-        a = _softmax(a)
+        several = np.flatnonzero((text != text[:, :1]).any(1))
+        a[several] = np.where(text[several, :, None] != text[several, None, :], _NO, a[several])
+        a = _exp(a, a.diagonal(0, 1, 2))  # weights times their sum, which the last column of the product is
         c = (a @ v).reshape(n * w, -1)
-        o = x + c @ p["O"]
+        total = c[:, -1:]
+        c = c[:, :-1] / total
+        o = c @ np.concatenate([p["O"], np.zeros((d, 1), x.dtype)], 1)
+        o += x
         there = np.flatnonzero(y.ravel() >= 0)
-        yy = y.ravel()[there]
-        cls = self.of[yy]
-        order, runs = _by_class(cls, self.edge)
-        there, yy, cls = there[order], yy[order], cls[order]
+        order, cls, inner, runs = self.by_class(y.ravel()[there])
+        there = there[order]
         oo, m = o[there], max(1, len(there))
-        z = _softmax(oo @ p["W"] + p["b"])
-        row = np.arange(len(there))
-        loss = -np.log(z[row, cls] + 1e-12).sum()
-        z[row, cls] -= 1
-        g = {"W": oo.T @ z, "b": z.sum(0), "U": np.zeros_like(p["U"]), "c": np.zeros_like(p["c"])}
+        row, odds, own = np.arange(len(there)), np.ones((2, len(there)), o.dtype), np.zeros((len(self.of), d + 1), o.dtype)
+        z, t = _weights(oo, np.concatenate([p["W"], p["b"][None]]))
+        odds[0] = z[row, cls] / t
+        z[row, cls] -= t
+        t = 1 / t[:, None]
+        gw = (oo * t).T @ z
         do = z @ p["W"].T
-        for r, u in runs:
-            z = _softmax(oo[r] @ p["U"][u].T + p["c"][u])
-            own = row[: len(z)], yy[r] - u.start
-            loss -= np.log(z[own] + 1e-12).sum()
-            z[own] -= 1
-            g["U"][u], g["c"][u] = z.T @ oo[r], z.sum(0)
-            do[r] += z @ p["U"][u]
-        whole = np.zeros_like(o)
-        whole[there] = do / np.float32(m)
-        for k_ in ("W", "b", "U", "c"):
-            g[k_] /= np.float32(m)
-        g["O"] = c.T @ whole
-        dc = (whole @ p["O"].T).reshape(n, w, -1)
-        dv = a.transpose(0, 2, 1) @ dc
-        da = dc @ v.transpose(0, 2, 1)
-        da -= (da * a).sum(2, keepdims=True)
+        do *= t
+        uc = np.concatenate([p["U"], p["c"][:, None]], 1)
+        for r, u, mask in runs:
+            z, t = _weights(oo[r], uc[u].T, mask)
+            at = row[: len(z)], inner[r]
+            mine = z[at]
+            odds[1, r] = mine / t
+            z[at] = mine - t
+            t = 1 / t[:, None]
+            own[u] = z.T @ (oo[r] * t)
+            do[r] += (z @ p["U"][u]) * t
+        loss = -np.log(odds + 1e-12).sum()
+        whole = np.zeros((n * w, d), x.dtype)
+        whole[there] = do * np.float32(1 / m)
+        gw *= np.float32(1 / m)
+        own *= np.float32(1 / m)
+        g = {"W": gw[:-1], "b": gw[-1], "U": own[:, :-1], "c": own[:, -1], "O": c.T @ whole}
+        ds = np.empty((n * w, d + 1), x.dtype)
+        np.divide(whole @ p["O"].T, total, out=ds[:, :-1])
+        np.negative(np.einsum("ij,ij->i", ds[:, :-1], c), out=ds[:, -1])
+        ds = ds.reshape(n, w, -1)
+        da = ds @ v.transpose(0, 2, 1)
         da *= a
         g["D"] = np.bincount(np.maximum(dist, 0).ravel(), np.where(dist < 0, 0, da.sum(0)).ravel(), len(p["D"]))
-        da *= scale
-        dq, dk, dv = (d.reshape(n * w, -1) for d in (da @ k, da.transpose(0, 2, 1) @ q, dv))
-        g["Q"], g["K"], g["V"] = x.T @ dq, x.T @ dk, x.T @ dv
-        dx = whole + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
+        dx = np.empty((n, w, 3 * d), x.dtype)
+        np.matmul(da, k, out=dx[:, :, :d])
+        np.matmul(da.transpose(0, 2, 1), q, out=dx[:, :, d : 2 * d])
+        np.matmul(a.transpose(0, 2, 1), ds[:, :, :-1], out=dx[:, :, 2 * d :])
+        dx = dx.reshape(n * w, -1)
+        g["Q"], g["K"], g["V"] = np.split(x[:, :-1].T @ dx, 3, 1)
+        g["Q"] *= scale
+        dx = dx @ qkv[:-1, :-1].T
+        dx += whole
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         symbol = flat[order]
         first = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
@@ -173,23 +235,32 @@ class Network:
 
     def train(self, s: np.ndarray, y: np.ndarray, text: np.ndarray, rate: float = _RATE, seed: int = 1) -> None:
         """One pass of Adam over the windows, in an order drawn by seed."""
-        m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        own = self.take(self.vector())
+        m, v = np.zeros_like(own), np.zeros_like(own)
         order = np.random.default_rng(seed).permutation(len(s))
         steps = -(-len(s) // _BATCH)
         for i in range(steps):
             t = order[i * _BATCH : (i + 1) * _BATCH]
             _, grad = self.loss(s[t].astype(np.int32), y[t].astype(np.int32), text[t])
-            r = rate * (1 - 0.9 * i / steps)
-            one, two = 1 - 0.9 ** (i + 1), 1 - 0.99 ** (i + 1)
-            for k, q in grad.items():
-                m[k] += np.float32(0.1) * (q - m[k])
-                v[k] += np.float32(0.01) * (q * q - v[k])
-                self.p[k] -= np.float32(r / one) * m[k] / (np.sqrt(v[k] * np.float32(1 / two)) + np.float32(1e-8))
-
-    def tables(self) -> tuple[np.ndarray, ...]:
-        """What scoring looks up by symbol: query, key and value."""
+            g = np.concatenate([grad[k].ravel() for k in self.p], dtype=np.float32)
+            r, one, two = rate * (1 - 0.9 * i / steps), 0.1 / (1 - 0.9 ** (i + 1)), (0.01 / (1 - 0.99 ** (i + 1))) ** 0.5
+            m *= np.float32(0.9)  # m and v without the factors 0.1 and 0.01
+            m += g
+            g *= g
+            v *= np.float32(0.99)
+            v += g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-8 / two)
+            np.divide(m, g, out=g)
+            g *= np.float32(r * one / two)
+            own -= g
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """What scoring looks up by symbol: the query, and the key and the value joined. The product of query and key is less by -_NO for a pad; the last column of values is one."""
         p = self.p
-        return p["E"] @ p["Q"] * np.float32(self.width**-0.5), p["E"] @ p["K"], p["E"] @ p["V"]
+        key = np.c_[p["E"] @ p["K"], np.zeros(len(p["E"]), np.float32)]
+        key[self.pad, -1] = _NO
+        return _and_one(p["E"] @ p["Q"] * np.float32(self.width**-0.5)), np.concatenate([key, _and_one(p["E"] @ p["V"] @ p["O"])], 1)
 
 
 def layout(net: Network, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,38 +294,44 @@ def score(net: Network, rank: Ranking, ids: np.ndarray, size: np.ndarray) -> np.
     target[np.repeat(first * h, size) + at] = rank.outcome[ids]
     target = target.reshape(-1, h)
     p = net.p
-    tq, tk, tv = net.tables()
+    tq, tkv = net.tables()
+    e = np.concatenate([p["E"], np.zeros((len(p["E"]), 1), np.float32)], 1)
+    wb, uc = np.concatenate([p["W"], p["b"][None]]), np.concatenate([p["U"], p["c"][:, None]], 1)
     dist = _offsets(h)
     base = np.where(dist < 0, _NO, p["D"][np.maximum(dist, 0)])
     window = np.arange(2 * h)
     for i in range(0, len(start), _SCORED // h):
         t = slice(i, i + _SCORED // h)
         s = flat[start[t, None] + window]
-        a = tq[s[:, h:]] @ tk[s].transpose(0, 2, 1)
+        kv = tkv[s]
+        a = tq[s[:, h:]] @ kv[:, :, : net.width + 1].transpose(0, 2, 1)
         a += base
-        a += np.where(s == net.pad, _NO, np.float32(0))[:, None]
-        c = (_softmax(a) @ tv[s]).reshape(-1, net.width)
         y = target[t].ravel()
         there = np.flatnonzero(y >= 0)
-        cls = net.of[y[there]]
-        order, runs = _by_class(cls, net.edge)
-        there, cls = there[order], cls[order]
-        y = y[there]
-        o = p["E"][s[:, h:].ravel()[there]] + c[there] @ p["O"]
-        loss = _surprise(o @ p["W"] + p["b"], cls)
-        for r, u in runs:
-            loss[r] += _surprise(o[r] @ p["U"][u].T + p["c"][u], y[r] - u.start)
+        c = (_exp(a, a.reshape(-1, 2 * h)[there, h + there % h]) @ kv[:, :, net.width + 1 :]).reshape(-1, net.width + 1)
+        order, cls, inner, runs = net.by_class(y[there])
+        there = there[order]
+        o = c[there]
+        o /= o[:, -1:]
+        o += e[s[:, h:].ravel()[there]]
+        loss = _surprise(o @ wb, cls)
+        for r, u, mask in runs:
+            z = o[r] @ uc[u].T
+            if mask is not None:
+                z += mask
+            loss[r] += _surprise(z, inner[r])
         out += np.bincount(text[t][there // h], loss, len(out))
     return out - np.bincount(np.repeat(np.arange(len(size)), size), rank.given[ids], len(size))
 
 
 def _surprise(z: np.ndarray, own: np.ndarray) -> np.ndarray:
     """-log softmax(z) at own, for each row."""
-    if z.min() < -_SAFE:
-        z -= z.max(1, keepdims=True)
-    row = np.arange(len(z))
-    total = _exp(z)
-    return np.log(total) - np.log(z[row, own] + np.float32(1e-30))
+    mine = z[np.arange(len(z)), own]
+    if mine.min() < -_SAFE or z.max() > _SAFE:
+        top = z.max(1)
+        z -= top[:, None]
+        mine -= top
+    return np.log(_total(np.exp(z, out=z))) - mine
 
 
 def training_windows(net: Network, rank: Ranking, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -292,6 +292,30 @@ def test_lm_gradients(vocab):
         assert abs(grad[k][at] - (up - down) / 2 / e) < 1e-5 and abs(up - down) > 0
 
 
+def test_lm_blocks_and_shifts(vocab):
+    ids = _chains(vocab, 40, 60)
+    rank = lm.Ranking(np.bincount(np.concatenate(ids), minlength=len(vocab.sizes)), out=40)
+    net = lm.Network(rank)
+    s, y, text = (x.astype(np.int64) for x in lm.training_windows(net, rank, ids))
+    d, size = np.concatenate(ids), np.array([len(x) for x in ids])
+    loss, grad = net.loss(s, y, text)
+    nll = lm.score(net, rank, d, size)
+    # classes that share a product give what each class alone gives, in fewer products
+    alone = lm.Network(rank, block=1)
+    assert all(last == first + 1 and (u.start, u.stop) == tuple(net.edge[first : last + 1]) for first, last, u, _ in alone.blocks)
+    assert 2 * len(net.blocks) < len(alone.blocks) and {c for x in alone.blocks for c in range(x[0], x[1])} <= {c for x in net.blocks for c in range(x[0], x[1])}
+    # a softmax doesn't change with a number added to all its logits, however large
+    nets = [alone]
+    for k in ("b", "c", "D"):
+        for by in (-200, 200):
+            nets.append(net.copy())
+            nets[-1].p[k] += np.float32(by)
+    for other in nets:
+        got, g = other.loss(s, y, text)
+        assert abs(got / loss - 1) < 1e-4 and all(np.allclose(g[k], grad[k], rtol=1e-2, atol=1e-5) for k in grad)
+        assert np.allclose(lm.score(other, rank, d, size), nll, rtol=1e-4)
+
+
 def test_lm_gain_and_brute_force(vocab):
     ids = _chains(vocab, 340, 300)
     counts = np.bincount(np.concatenate(ids[:300]), minlength=len(vocab.sizes))
