@@ -37,6 +37,7 @@ SHARD_IDS = 1 << 21
 _BATCH, _RATE, _PARAM_BLOCKS, _SCORED = 128, 0.015, 16, 8192
 _TEXT_BYTES, _ID_BYTES = 12_000_000, 1_000_000
 _BLOCK = 32  # outcomes of small classes in one product
+_RUN = 512  # rows in one product: narrow products of up to about a million multiplications run without packing their operands
 _NO = np.float32(-1e9)
 _SAFE, _LEAST = 40.0, 1e-20  # logits up to here, and sums of exponentials from here to 1 / _LEAST, need no shift before the exponential
 
@@ -83,10 +84,35 @@ def _total(z: np.ndarray) -> np.ndarray:
     return z @ np.ones(z.shape[-1], z.dtype)
 
 
+def _rows(x: np.ndarray, m: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """x @ m, _RUN rows of x at a time."""
+    n = len(x) - len(x) % _RUN
+    if not n:
+        return np.matmul(x, m, out=out)
+    m = np.ascontiguousarray(m)
+    if out is None:
+        out = np.empty((len(x), m.shape[1]), np.result_type(x, m))
+    np.matmul(x[:n].reshape(-1, _RUN, x.shape[1]), m, out=out[:n].reshape(-1, _RUN, m.shape[1]))
+    if n < len(x):
+        np.matmul(x[n:], m, out=out[n:])
+    return out
+
+
+def _across(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """x.T @ z, summed over _RUN rows of both at a time."""
+    n = len(x) - len(x) % _RUN
+    if not n:
+        return x.T @ z
+    out = np.matmul(x[:n].reshape(-1, _RUN, x.shape[1]).transpose(0, 2, 1), z[:n].reshape(-1, _RUN, z.shape[1])).sum(0)
+    if n < len(x):
+        out += x[n:].T @ z[n:]
+    return out
+
+
 def _weights(x: np.ndarray, m: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """exp(x @ m + mask) up to a factor for each row, and its sums."""
     for shift in (False, True):
-        z = x @ m
+        z = _rows(x, m)
         if mask is not None:
             z += mask
         if shift:
@@ -97,6 +123,16 @@ def _weights(x: np.ndarray, m: np.ndarray, mask: np.ndarray | None = None) -> tu
     return z, t
 
 
+def _logits(x: np.ndarray, m: np.ndarray, size: int, runs: list[tuple[slice, slice, slice, np.ndarray | None]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The logits of rows x within their classes, as by_class lays them out; m has the outcomes' vectors. And views of them, a matrix for each block."""
+    flat, out = np.empty(size, x.dtype), []
+    for r, u, b, mask in runs:
+        out.append(_rows(x[r], m[u].T, flat[b].reshape(r.stop - r.start, -1)))
+        if mask is not None:
+            out[-1] += mask
+    return flat, out
+
+
 def _and_one(x: np.ndarray) -> np.ndarray:
     """x with a last column of ones, by which a product also adds a bias or sums up."""
     out = np.ones((*x.shape[:-1], x.shape[-1] + 1), x.dtype)
@@ -132,8 +168,10 @@ class Network:
         self.begin, self.pad, self.width, self.stride = rank.symbols, rank.symbols + 1, width, stride
         self.edge, self.of, self.blocks = rank.edge, rank.of, _blocks(rank.edge, block)
         self.within = np.zeros(len(rank.of), np.int64)  # of each outcome, its place in its block
-        for _, _, u, _ in self.blocks:
+        self.wide = np.zeros(rank.classes, np.int64)  # of each class, the outcomes of its block, 0 if it has none
+        for first, last, u, _ in self.blocks:
             self.within[u] = np.arange(u.stop - u.start)
+            self.wide[first:last] = u.stop - u.start
         p = {"E": g.normal(0, 0.3, (rank.symbols + 2, width)), **{k: g.normal(0, width**-0.5, (width, width)) for k in "QKVO"}, "D": np.zeros(2 * stride), "W": g.normal(0, 0.05, (width, rank.classes)), "b": rank.prior, "U": g.normal(0, 0.05, (len(rank.of), width)), "c": rank.share}
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
 
@@ -153,24 +191,31 @@ class Network:
         out.__dict__ = self.__dict__ | {"p": {k: v.copy() for k, v in self.p.items()}}
         return out
 
-    def by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[slice, slice, np.ndarray | None]]]:
-        """An order of the outcomes y by class; in that order their classes and places in their blocks; for each block that has any its rows, its outcomes and what is added to their logits."""
+    def by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, list[tuple[slice, slice, slice, np.ndarray | None]]]:
+        """An order of the outcomes y by class, and in that order their classes. The logits within the classes lie behind one another, row by row: which rows have any, where those have their own outcome, and the number of logits; for each
+        block that has rows these, its outcomes, its logits and what is added to them."""
         cls = self.of[y]
         order = np.argsort(cls.astype(np.uint8 if len(self.edge) <= 257 else np.uint16), kind="stable")
-        cls, end = cls[order], np.r_[0, np.cumsum(np.bincount(cls, minlength=len(self.edge) - 1))].tolist()
-        runs = [(slice(end[x], end[z]), u, None if mask is None else mask[cls[end[x] : end[z]] - x]) for x, z, u, mask in self.blocks if end[x] < end[z]]
-        return order, cls, self.within[y[order]], runs
+        cls = cls[order]
+        end, at = np.r_[0, np.cumsum(np.bincount(cls, minlength=len(self.edge) - 1))].tolist(), np.r_[0, np.cumsum(self.wide[cls])]
+        runs = []
+        for x, z, u, mask in self.blocks:
+            if end[x] < end[z]:
+                r = slice(end[x], end[z])
+                runs.append((r, u, slice(int(at[end[x]]), int(at[end[z]])), None if mask is None else mask.take(cls[r] - x, 0)))
+        some = np.flatnonzero(self.wide[cls])
+        return order, cls, some, at[some] + self.within[y[order[some]]], int(at[-1]), runs
 
     @np.errstate(over="ignore")
     def loss(self, s: np.ndarray, y: np.ndarray, text: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy of the outcomes y (batch, inputs), -1 where there is none, after the symbols s of the same text (number) up to there, and gradients."""
         p, (n, w), d, scale = self.p, s.shape, self.width, np.float32(self.width**-0.5)
         flat = s.ravel()
-        x = _and_one(p["E"])[flat]
+        x = _and_one(p["E"]).take(flat, 0)
         qkv = np.zeros((d + 1, 3 * d + 1), x.dtype)
         np.concatenate([p["Q"] * scale, p["K"], p["V"]], 1, out=qkv[:-1, :-1])
         qkv[-1, -1] = 1  # the last column of v, and of o below, is one
-        q, k, v = np.split((x @ qkv).reshape(n, w, -1), (d, 2 * d), 2)
+        q, k, v = np.split(_rows(x, qkv).reshape(n, w, -1), (d, 2 * d), 2)
         dist = np.arange(w)[:, None] - np.arange(w)[None]
         a = q @ k.transpose(0, 2, 1)
         a += np.where(dist < 0, _NO, p["D"][np.maximum(dist, 0)])
@@ -180,38 +225,54 @@ class Network:
         c = (a @ v).reshape(n * w, -1)
         total = c[:, -1:]
         c = c[:, :-1] / total
-        o = c @ np.concatenate([p["O"], np.zeros((d, 1), x.dtype)], 1)
+        o = _rows(c, np.concatenate([p["O"], np.zeros((d, 1), x.dtype)], 1))
         o += x
         there = np.flatnonzero(y.ravel() >= 0)
-        order, cls, inner, runs = self.by_class(y.ravel()[there])
+        order, cls, some, at, size, runs = self.by_class(y.ravel()[there])
         there = there[order]
-        oo, m = o[there], max(1, len(there))
-        row, odds, own = np.arange(len(there)), np.ones((2, len(there)), o.dtype), np.zeros((len(self.of), d + 1), o.dtype)
+        oo, m = o.take(there, 0), max(1, len(there))
+        odds, own = np.ones((2, len(there)), o.dtype), np.zeros((len(self.of), d + 1), o.dtype)
         z, t = _weights(oo, np.concatenate([p["W"], p["b"][None]]))
-        odds[0] = z[row, cls] / t
-        z[row, cls] -= t
+        place = np.arange(len(there)) * z.shape[1] + cls
+        mine = z.take(place)
+        odds[0] = mine / t
+        z.reshape(-1)[place] = mine - t
         t = 1 / t[:, None]
-        gw = (oo * t).T @ z
-        do = z @ p["W"].T
+        gw = _across(oo * t, z)
+        do = _rows(z, p["W"].T)
         do *= t
         uc = np.concatenate([p["U"], p["c"][:, None]], 1)
-        for r, u, mask in runs:
-            z, t = _weights(oo[r], uc[u].T, mask)
-            at = row[: len(z)], inner[r]
-            mine = z[at]
-            odds[1, r] = mine / t
-            z[at] = mine - t
-            t = 1 / t[:, None]
-            own[u] = z.T @ (oo[r] * t)
-            do[r] += (z @ p["U"][u]) * t
+        one, t = np.ones(int(self.wide.max()), o.dtype), np.ones(len(there), o.dtype)
+        for shift in (False, True):
+            flat_z, blocks = _logits(oo, uc, size, runs)
+            if shift:
+                for z in blocks:
+                    z -= z.max(-1, keepdims=True)
+            np.exp(flat_z, out=flat_z)
+            for (r, _, _, _), z in zip(runs, blocks):
+                np.matmul(z, one[: z.shape[1]], out=t[r])
+            if not t.size or (t.min() > _LEAST and t.max() < 1 / _LEAST):
+                break
+        mine = flat_z.take(at)
+        odds[1, some] = mine / t[some]
+        flat_z[at] = mine - t[some]
+        t = 1 / t[:, None]
+        ot, inner = oo * t, np.zeros_like(do)
+        for (r, u, _, _), z in zip(runs, blocks):
+            own[u] = _rows(z.T, ot[r])
+            np.matmul(z, p["U"][u], out=inner[r])
+        inner *= t
+        do += inner
+        do *= np.float32(1 / m)
         loss = -np.log(odds + 1e-12).sum()
-        whole = np.zeros((n * w, d), x.dtype)
-        whole[there] = do * np.float32(1 / m)
+        back = np.full(n * w, len(there))
+        back[there] = np.arange(len(there))
+        whole = np.concatenate([do, np.zeros((1, d), x.dtype)]).take(back, 0)
         gw *= np.float32(1 / m)
         own *= np.float32(1 / m)
-        g = {"W": gw[:-1], "b": gw[-1], "U": own[:, :-1], "c": own[:, -1], "O": c.T @ whole}
+        g = {"W": gw[:-1], "b": gw[-1], "U": own[:, :-1], "c": own[:, -1], "O": _across(c, whole)}
         ds = np.empty((n * w, d + 1), x.dtype)
-        np.divide(whole @ p["O"].T, total, out=ds[:, :-1])
+        np.divide(_rows(whole, p["O"].T), total, out=ds[:, :-1])
         np.negative(np.einsum("ij,ij->i", ds[:, :-1], c), out=ds[:, -1])
         ds = ds.reshape(n, w, -1)
         da = ds @ v.transpose(0, 2, 1)
@@ -222,15 +283,15 @@ class Network:
         np.matmul(da.transpose(0, 2, 1), q, out=dx[:, :, d : 2 * d])
         np.matmul(a.transpose(0, 2, 1), ds[:, :, :-1], out=dx[:, :, 2 * d :])
         dx = dx.reshape(n * w, -1)
-        g["Q"], g["K"], g["V"] = np.split(x[:, :-1].T @ dx, 3, 1)
+        g["Q"], g["K"], g["V"] = np.split(_across(x[:, :-1], dx), 3, 1)
         g["Q"] *= scale
-        dx = dx @ qkv[:-1, :-1].T
+        dx = _rows(dx, qkv[:-1, :-1].T)
         dx += whole
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         symbol = flat[order]
         first = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
         g["E"] = np.zeros_like(p["E"])
-        g["E"][symbol[first]] = np.add.reduceat(dx[order], first)
+        g["E"][symbol[first]] = np.add.reduceat(dx.take(order, 0), first)
         return float(loss) / m, g
 
     def train(self, s: np.ndarray, y: np.ndarray, text: np.ndarray, rate: float = _RATE, seed: int = 1) -> None:
@@ -299,34 +360,39 @@ def score(net: Network, rank: Ranking, ids: np.ndarray, size: np.ndarray) -> np.
     wb, uc = np.concatenate([p["W"], p["b"][None]]), np.concatenate([p["U"], p["c"][:, None]], 1)
     dist = _offsets(h)
     base = np.where(dist < 0, _NO, p["D"][np.maximum(dist, 0)])
-    window = np.arange(2 * h)
+    window, one = np.arange(2 * h), np.ones(int(net.wide.max()), np.float32)
     for i in range(0, len(start), _SCORED // h):
         t = slice(i, i + _SCORED // h)
         s = flat[start[t, None] + window]
-        kv = tkv[s]
-        a = tq[s[:, h:]] @ kv[:, :, : net.width + 1].transpose(0, 2, 1)
+        kv = tkv.take(s, 0)
+        a = tq.take(s[:, h:], 0) @ kv[:, :, : net.width + 1].transpose(0, 2, 1)
         a += base
         y = target[t].ravel()
         there = np.flatnonzero(y >= 0)
         c = (_exp(a, a.reshape(-1, 2 * h)[there, h + there % h]) @ kv[:, :, net.width + 1 :]).reshape(-1, net.width + 1)
-        order, cls, inner, runs = net.by_class(y[there])
+        order, cls, some, own, total, runs = net.by_class(y[there])
         there = there[order]
-        o = c[there]
+        o = c.take(there, 0)
         o /= o[:, -1:]
-        o += e[s[:, h:].ravel()[there]]
-        loss = _surprise(o @ wb, cls)
-        for r, u, mask in runs:
-            z = o[r] @ uc[u].T
-            if mask is not None:
-                z += mask
-            loss[r] += _surprise(z, inner[r])
+        o += e.take(s[:, h:].ravel()[there], 0)
+        loss = _surprise(_rows(o, wb), cls)
+        z, blocks = _logits(o, uc, total, runs)
+        mine, sums = z.take(own), np.ones(len(o), z.dtype)
+        if len(z) and (mine.min() < -_SAFE or z.max() > _SAFE):
+            for (r, _, _, _), block in zip(runs, blocks):
+                block -= block.max(-1, keepdims=True)
+            mine = z.take(own)
+        np.exp(z, out=z)
+        for (r, _, _, _), block in zip(runs, blocks):
+            np.matmul(block, one[: block.shape[1]], out=sums[r])
+        loss[some] += np.log(sums[some]) - mine
         out += np.bincount(text[t][there // h], loss, len(out))
     return out - np.bincount(np.repeat(np.arange(len(size)), size), rank.given[ids], len(size))
 
 
 def _surprise(z: np.ndarray, own: np.ndarray) -> np.ndarray:
     """-log softmax(z) at own, for each row."""
-    mine = z[np.arange(len(z)), own]
+    mine = z.take(np.arange(len(z)) * z.shape[1] + own)
     if mine.min() < -_SAFE or z.max() > _SAFE:
         top = z.max(1)
         z -= top[:, None]

@@ -316,6 +316,35 @@ def test_lm_blocks_and_shifts(vocab):
         assert np.allclose(lm.score(other, rank, d, size), nll, rtol=1e-4)
 
 
+def test_lm_runs_of_rows(vocab, monkeypatch):
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 6, 7, 20, 28):  # products in runs of 7 rows, with and without a rest, also of a transposed matrix
+        x, m, z = rng.normal(size=(n, 3)), rng.normal(size=(3, 5)), rng.normal(size=(n, 4))
+        monkeypatch.setattr(lm, "_RUN", 7)
+        assert np.allclose(lm._rows(x, m), x @ m)
+        assert np.allclose(lm._rows(np.asfortranarray(x), m, np.empty((n, 5))), x @ m) and np.allclose(lm._across(x, z), x.T @ z)
+    ids = _chains(vocab, 40, 60)
+    d, size = np.concatenate(ids), np.array([len(x) for x in ids])
+    rank = lm.Ranking(np.bincount(d, minlength=len(vocab.sizes)), out=40)
+    for block in (1, 32):  # rows of classes of one outcome are in no block, or in one
+        net = lm.Network(rank, block=block)
+        s, y, text = (x.astype(np.int64) for x in lm.training_windows(net, rank, ids))
+        y[::5] = -1  # some inputs have no outcome
+        got = []
+        for run in (7, 1 << 30):
+            monkeypatch.setattr(lm, "_RUN", run)
+            got.append((*net.loss(s, y, text), lm.score(net, rank, d, size)))
+        assert abs(got[0][0] / got[1][0] - 1) < 1e-5 and np.allclose(got[0][2], got[1][2], rtol=1e-5)
+        assert all(np.allclose(got[0][1][k], v, rtol=1e-3, atol=1e-6) for k, v in got[1][1].items())
+        # the logits within classes: each row has those of its block, and its own outcome's is at its place
+        order, cls, some, at, total, runs = net.by_class(rank.outcome[d])
+        assert (cls == net.of[rank.outcome[d][order]]).all() and total == net.wide[cls].sum() and (at < total).all()
+        assert sorted(some) == [i for i, c in enumerate(cls) if net.wide[c]] and sum(b.stop - b.start for _, _, b, _ in runs) == total
+        none = np.full_like(y, -1)
+        loss, grad = net.loss(s, none, text)
+        assert loss == 0 and not any(g.any() for g in grad.values())
+
+
 def test_lm_gain_and_brute_force(vocab):
     ids = _chains(vocab, 340, 300)
     counts = np.bincount(np.concatenate(ids[:300]), minlength=len(vocab.sizes))
