@@ -13,16 +13,21 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glossa.functions import text as tx
+
 _NAME = r"[A-Za-z0-9_]+"
 _STYLES = {"dollar_brace": rf"\$\{{({_NAME})\}}", "mustache": rf"\{{\{{({_NAME})\}}\}}", "brace": rf"\{{({_NAME})\}}", "printf": r"%(?:([0-9]+)\$)?([sdfox@])", "dollar_index": r"\$(\d+)", "colon": r"(?a::([^\W\d]\w*))"}
 _COMPILED = {k: re.compile(v) for k, v in _STYLES.items()}
 _ICU = re.compile(r"(?i)[{][^{}]+,\s*(?:selectordinal|plural|select)\s*,")
+_MAY = re.compile(r"[${%:]")
 _SCHEME = re.compile(r"(?:^|[^A-Za-z0-9+.-])(?:https?|mailto|tel|ftp|file)$", re.I)
 SCHEMA = "array<struct<raw:string,style:string,canonical:string,start:int>>"
 
 
 def tokens(text: str) -> list[tuple[str, str, str, int]]:
     """(raw, style, canonical, start), by start."""
+    if not _MAY.search(text):
+        return []
     taken = bytearray(len(text))
     out, unnamed = [], 0
     for style, rx in _COMPILED.items():
@@ -75,12 +80,22 @@ def _more(a: Column, b: Column) -> Column:
 
 def compare(en: Column, ar: Column) -> Column:
     """Array of (issue_type, severity, message) for the parsed columns of a pair."""
+    none = F.array().cast("array<struct<issue_type:string,severity:string,message:string>>")
+    return F.when((F.size(en) == 0) & (F.size(ar) == 0), none).otherwise(tx.let(F.struct(en.alias("en"), ar.alias("ar")), lambda x: _compare(x["en"], x["ar"])))
+
+
+def _compare(en: Column, ar: Column) -> Column:
     ec, ac, es, as_ = _field(en, "canonical"), _field(ar, "canonical"), _field(en, "style"), _field(ar, "style")
     named = lambda items: F.transform(F.filter(items, lambda x: x["style"] != "printf"), lambda x: x["canonical"])
     same_set = lambda a, b: F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
     en_names, ar_names = named(en), named(ar)
     renamed = (F.size(en_names) > 0) & (F.size(en) == F.size(ar)) & (F.size(en_names) == F.size(ar_names)) & (F.array_sort(es) == F.array_sort(as_)) & ~same_set(en_names, ar_names)
-    gone, extra = _more(ec, ac), _more(ac, ec)
+    return tx.let(F.struct(renamed.alias("renamed"), _more(ec, ac).alias("gone"), _more(ac, ec).alias("extra")), lambda x: _rows(en, ar, x["renamed"], x["gone"], x["extra"]))
+
+
+def _rows(en: Column, ar: Column, renamed: Column, gone: Column, extra: Column) -> Column:
+    ec, ac, es, as_ = _field(en, "canonical"), _field(ar, "canonical"), _field(en, "style"), _field(ar, "style")
+    same_set = lambda a, b: F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
     styles = lambda items, v: F.array_sort(F.array_distinct(F.transform(F.filter(items, lambda x: x["canonical"] == v), lambda x: x["style"])))
     formats = F.array_sort(F.filter(F.array_intersect(ec, ac), lambda v: styles(en, v) != styles(ar, v)))
     risky = F.exists(F.concat(es, as_), lambda s: ~s.isin("colon", "icu_pound"))

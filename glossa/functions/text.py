@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -56,6 +57,11 @@ WORDING = [
 _WORD = r"[A-Za-z؀-ۿ0-9]+"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once a row: a column that is used several times is otherwise written out, and computed, as often."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at the ends, by Unicode's idea of white space."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -71,17 +77,18 @@ def is_blank(c: Column) -> Column:
 
 
 def has_html(c: Column) -> Column:
-    return c.rlike("<[^>]+>")
+    return c.contains("<") & c.rlike("<[^>]+>")
 
 
 def has_icu(c: Column) -> Column:
-    return c.rlike(r"(?i)\{[^{}]+,\s*(?:selectordinal|plural|select)\s*,")
+    return c.contains("{") & c.rlike(r"(?i)\{[^{}]+,\s*(?:selectordinal|plural|select)\s*,")
 
 
 def is_technical(c: Column) -> Column:
-    """URLs, addresses, paths, flags, code, commands and brands."""
-    patterns = [r"(?i)https?://\S+|www\.\S+", r"(?i)[\w.%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?!\w)", r"(^|[(\s])~?/\S+", r"(?<!\w)[A-Za-z]:\\\S+", r"(^|[(\s])--\w", "`[^`]+`", r"(?U)(^|\s)(cargo|cat|cd|composer|git|ls|node|npm|npx|pip|pnpm|python|yarn)(?!\w)", r"(?U)(?<!\w)([a-z]+[A-Z]|iPhone|iPad|macOS|GitHub)"]
-    return reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns]) | c.contains("://") | c.contains("\\")
+    """URLs, addresses, paths, flags, code, commands and brands. A pattern runs only where the text has the characters that it can't do without."""
+    patterns = [(".", r"(?i)www\.\S+"), ("@", r"(?i)[\w.%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?!\w)"), ("/", r"(^|[(\s])~?/\S+"), ("--", r"(^|[(\s])--\w"), ("`", "`[^`]+`")]
+    words = [r"(?U)(^|\s)(cargo|cat|cd|composer|git|ls|node|npm|npx|pip|pnpm|python|yarn)(?!\w)", r"(?U)(?<!\w)([a-z]+[A-Z]|iPhone|iPad|macOS|GitHub)"]
+    return reduce(lambda a, b: a | b, [c.contains("://"), c.contains("\\"), *[c.contains(x) & c.rlike(p) for x, p in patterns], *[c.rlike(p) for p in words]])
 
 
 def has_arabic(c: Column) -> Column:
@@ -109,7 +116,13 @@ def is_short_label(c: Column) -> Column:
 
 def shape(c: Column) -> Column:
     """empty, sentence_like, short_label or phrase."""
-    return F.when(is_blank(c), "empty").when(is_sentence_like(c), "sentence_like").when(is_short_label(c), "short_label").otherwise("phrase")
+
+    def of(s: Column) -> Column:
+        n = lambda k: F.when(k == 0, "phrase").when(k <= 3, "short_label").otherwise("phrase")
+        some = let(F.size(words(s)), lambda k: F.when(k >= 7, "sentence_like").otherwise(n(k)))
+        return F.when(s.isNull() | (s == ""), "empty").when(s.contains("\n") | s.rlike(r"[.!?؟]$"), "sentence_like").otherwise(some)
+
+    return let(strip(c), of)
 
 
 def csv_guard(c: Column) -> Column:
@@ -121,9 +134,13 @@ def camel_to_snake(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(c, "(.)([A-Z][a-z][a-z]*)", "$1_$2"), "(?<=[0-9a-z])(?=[A-Z])", "_"))
 
 
+def joined_tokens(c: Column) -> Column:
+    """The tokens of a key in lower case, a low line between them."""
+    return F.lower(F.regexp_replace(F.regexp_replace(c, "(?<=[a-z0-9])(?=[A-Z])", "_"), r"[\W_]+", "_"))
+
+
 def key_tokens(c: Column) -> Column:
-    s = F.regexp_replace(F.regexp_replace(c, "(?<=[a-z0-9])(?=[A-Z])", "_"), r"[\W_]+", "_")
-    return F.filter(F.split(F.lower(s), "_"), lambda t: t != "")
+    return F.filter(F.split(joined_tokens(c), "_"), lambda t: t != "")
 
 
 def is_small_change(old: Column, new: Column) -> Column:
@@ -146,8 +163,9 @@ def whole_word(phrase: str) -> str:
 
 def wording_issues(c: Column) -> Column:
     """Array of (issue_type, message, new) for each wording rule that a text breaks; none for technical texts or mark-up."""
+    any_of = r"(?i)(?U)(?<!\w)(?:" + "|".join(rf"\Q{p}\E" for _, p, _, _ in WORDING) + r")(?!\w)"  # most texts break none: one pattern tells
     found = [F.when(c.rlike(whole_word(p)), F.struct(F.lit(t).alias("issue_type"), F.lit(m).alias("message"), F.regexp_replace(c, whole_word(p), r).alias("new"))) for t, p, r, m in WORDING]
-    plain = ~is_technical(c) & ~c.rlike("[<>]")
+    plain = c.rlike(any_of) & ~c.rlike("[<>]") & ~is_technical(c)
     return F.when(plain, F.filter(F.array(*found), lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<issue_type:string,message:string,new:string>>"))
 
 

@@ -24,7 +24,8 @@ def _quoted(c: Column) -> Column:
 def term_matches(texts: DataFrame, glossary: DataFrame, col: str = "en") -> DataFrame:
     """(text columns, glossary columns): terms that stand in the text as whole words, whatever their case."""
     terms = glossary.withColumn("_first", F.lower(F.regexp_extract("term_en", r"(?U)(\w+)", 1)))
-    found = _tokens(texts, col).distinct().join(terms, F.col("_w") == F.col("_first")).drop("_w", "_first")
+    words = _tokens(texts, col).join(terms.select(F.col("_first").alias("_w")).distinct(), "_w", "left_semi")  # only words that begin a term are shuffled
+    found = words.distinct().join(terms, F.col("_w") == F.col("_first")).drop("_w", "_first")
     return texts.join(found, "key").where(F.regexp_like(F.lower(F.col(col)), _quoted(F.lower("term_en"))))
 
 

@@ -41,14 +41,25 @@ def missing(have: DataFrame, other: DataFrame) -> DataFrame:
 
 def identical(pairs: DataFrame) -> DataFrame:
     """Pairs whose texts are equal, not blank and have a letter."""
-    return pairs.where((F.col("en") == F.col("ar")) & ~tx.is_blank(F.col("en")) & F.col("en").rlike(r"\p{L}"))
+    return pairs.where(is_identical(F.col("en"), F.col("ar")))
+
+
+def is_identical(en: Column, ar: Column) -> Column:
+    return (en == ar) & ~tx.is_blank(en) & en.rlike(r"\p{L}")
 
 
 def missing_actions(en: Column, ar: Column) -> Column:
     """Verbs of the English text of which the Arabic has no form, in alphabetical order."""
-    plain = tx.normalize_arabic(ar)
-    lacks = lambda forms: ~F.exists(F.array(*[tx.normalize_arabic(F.lit(f)) for f in forms.split()]), lambda f: plain.contains(f))
-    return F.filter(F.array(*[F.when(F.lower(en).rlike(rf"(?U)(?<!\w){v}(?!\w)") & lacks(ACTIONS[v]), F.lit(v)) for v in sorted(ACTIONS)]), lambda x: x.isNotNull())
+    any_of = rf"(?U)(?<!\w)(?:{'|'.join(ACTIONS)})(?!\w)"  # one pattern for the many texts without a verb
+
+    def of(e: Column) -> Column:
+        def lacking(plain: Column) -> Column:
+            lacks = lambda forms: ~F.exists(F.array(*[tx.normalize_arabic(F.lit(f)) for f in forms.split()]), lambda f: plain.contains(f))
+            return F.filter(F.array(*[F.when(e.rlike(rf"(?U)(?<!\w){v}(?!\w)") & lacks(ACTIONS[v]), F.lit(v)) for v in sorted(ACTIONS)]), lambda x: x.isNotNull())
+
+        return F.when(e.rlike(any_of), tx.let(tx.normalize_arabic(ar), lacking)).otherwise(F.array().cast("array<string>"))
+
+    return tx.let(F.lower(en), of)
 
 
 def cues(c: Column) -> Column:
@@ -66,25 +77,36 @@ def jaccard(a: Column, b: Column) -> Column:
 def spacing_findings(pairs: DataFrame) -> DataFrame:
     """(key, issue_type, old, new) for padded English texts and runs of blanks."""
     e = F.col("en")
-    safe = ~is_risky(e, tokens(e))
+    return pairs.select("key", e.alias("old"), F.explode(spacing(e)).alias("x")).select("key", "x.issue_type", "old", "x.new")
+
+
+def spacing(e: Column) -> Column:
+    """Array of (issue_type, new) of an English text."""
     found = F.array(
         F.when(tx.strip(e) != e, F.struct(F.lit("whitespace").alias("issue_type"), tx.strip(e).alias("new"))),
-        F.when(safe & e.rlike(" {2,}"), F.struct(F.lit("spacing").alias("issue_type"), tx.collapse(e).alias("new"))),
+        F.when(e.contains("  ") & ~is_risky(e, tokens(e)), F.struct(F.lit("spacing").alias("issue_type"), tx.collapse(e).alias("new"))),
     )
-    return pairs.select("key", F.col("en").alias("old"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("key", "x.issue_type", "old", "x.new")
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def shape_findings(pairs: DataFrame) -> DataFrame:
     """(key, issue_type, actions): a sentence that became a label, a label that became a sentence, and verbs that were lost."""
-    e, a = F.col("en"), F.col("ar")
-    lost = missing_actions(e, a)
-    found = F.array(
-        F.when((tx.shape(e) == "sentence_like") & tx.shape(a).isin("short_label", "phrase"), "sentence_shape_mismatch"),
-        F.when((tx.shape(e) == "short_label") & (tx.shape(a) == "sentence_like"), "message_label_mismatch"),
-        F.when((F.size(tx.words(e)) >= 3) & (F.size(lost) > 0), "possible_meaning_loss"),
-    )
-    there = pairs.where(~tx.is_blank(e) & ~tx.is_blank(a))
-    return there.select("key", F.array_join(lost, " ").alias("actions"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("issue_type"))
+    return pairs.select("key", F.explode(shape_changes(F.col("en"), F.col("ar"))).alias("x")).select("key", "x.actions", "x.issue_type")
+
+
+def shape_changes(e: Column, a: Column) -> Column:
+    """Array of (issue_type, actions) of a pair; none where a side is blank."""
+
+    def of(x: Column) -> Column:
+        found = F.array(
+            F.when((x["e"] == "sentence_like") & x["a"].isin("short_label", "phrase"), "sentence_shape_mismatch"),
+            F.when((x["e"] == "short_label") & (x["a"] == "sentence_like"), "message_label_mismatch"),
+            F.when((F.size(x["lost"]) > 0) & (F.size(tx.words(e)) >= 3), "possible_meaning_loss"),
+        )
+        found = F.when((x["e"] != "empty") & (x["a"] != "empty"), F.filter(found, lambda k: k.isNotNull())).otherwise(F.array().cast("array<string>"))
+        return F.transform(found, lambda k: F.struct(k.alias("issue_type"), F.array_join(x["lost"], " ").alias("actions")))
+
+    return tx.let(F.struct(tx.shape(e).alias("e"), tx.shape(a).alias("a"), missing_actions(e, a).alias("lost")), of)
 
 
 def gate_codes(source: Column, suggestion: Column) -> Column:

@@ -67,10 +67,17 @@ LINES = """SELECT l_orderkey AS id, l_linenumber AS line, CASE CAST(l_partkey %
   ELSE concat('t("status_" + s', CAST(l_linenumber AS STRING), ')') END AS code FROM lineitem"""
 
 
-def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of an adapter over the tables of a folder; only the columns and tables that it names are read."""
+def rows(spark: SparkSession, sf_dir: str, sql: str, costly: bool = False) -> DataFrame:
+    """The rows of an adapter over the tables of a folder; only the columns and tables that it names are read. For costly rules the tables are spread first."""
+    read = lambda n: spread(table(spark, sf_dir, n)) if costly else table(spark, sf_dir, n)
     names = [n for n in ("documents", "conversations", "events", "part", "supplier", "nation", "orders", "lineitem", "pages", "labels", "customer", "region") if f" {n}" in sql]
-    return spark.sql(_with_tables(sql, names), **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+    return spark.sql(_with_tables(sql, names), **{n: read(n) for n in names})
+
+
+def spread(d: DataFrame) -> DataFrame:
+    """The same rows over all cores, as often as the session shuffles. A narrow table has a million rows in one row group, which a single task reads; rules that cost much a row mustn't be left to it."""
+    spark = d.sparkSession
+    return d.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
 def _with_tables(sql: str, names: list[str]) -> str:

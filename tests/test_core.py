@@ -271,3 +271,25 @@ def test_audit(spark, tmp_path):
     assert {("home.title", "missing_in_ar", "high"), ("home.x", "grammar", "medium"), ("home.same", "identical_translation", "info"), ("only", "in_en_not_ar", "medium"), ("gone", "empty_ar", "high"), ("nowhere", "missing_in_both", "critical"), ("home.x", "confirmed_unused_key", "low")} <= got
     assert out["summary"].where("dimension = 'total'").first().n == len(got)
     assert out["plan"].count() >= 1
+
+
+def _plan(d):
+    return d._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no tables")
+def test_audit_is_one_pass(spark):
+    from glossa.plans.audit import full_audit
+
+    plan = _plan(full_audit(spark, SF))
+    assert plan.count("part.parquet") == 5  # the pairs, twice for duplicates, twice for the glossary
+    assert "RoundRobinPartitioning" in plan.rsplit("ArrowEvalPython", 1)[1]  # a table of one row group isn't left to one task
+
+
+def test_audit_keeps_the_first(spark):
+    from glossa.plans.audit import findings
+
+    d = spark.createDataFrame([("k", None, "{x} here"), ("k", "", "{x} here"), ("k", "", "{x} here"), ("j", "Contact with us", "Contact with us")], "key string, en string, ar string")
+    got = [r for r in findings(d).collect() if r.key == "k" and r.issue_type == "missing_in_en"]
+    assert [(r.old, r.seq.old, r.seq._part, r.severity) for r in got] == [("", None, 7, "high")]
+    assert ("j", "grammar") in {(r.key, r.issue_type) for r in findings(d).collect()}
