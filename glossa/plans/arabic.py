@@ -55,9 +55,13 @@ def _sql(where: str, kind: str, severity: str, new: str = "''", related: str = "
     return f"SELECT key, '{kind}' AS issue_type, '{severity}' AS severity, ar AS old, {new} AS new, {related} AS related, '{fix}' AS fix_mode FROM {_masked(where)}"
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, TEXTS, costly=True)
+
+
 def _run(spark: SparkSession, sf_dir: str, *rules) -> DataFrame:
     """Findings of single rules; each takes the columns key and ar."""
-    d = rows(spark, sf_dir, TEXTS).select("key", F.col("ar").alias("old"), F.explode(F.flatten(F.array(*[r(F.col("key"), F.col("ar")) for r in rules]))).alias("x"))
+    d = _texts(spark, sf_dir).select("key", F.col("ar").alias("old"), F.explode(F.flatten(F.array(*[r(F.col("key"), F.col("ar")) for r in rules]))).alias("x"))
     return d.select("key", "x.issue_type", "x.severity", "old", "x.new", "x.related", "x.fix_mode")
 
 
@@ -115,14 +119,14 @@ for _name, (_rule, _text) in _RULES.items():
 
 @query(" UNION ALL ".join(f"({sql})" for _, sql in _RULES.values()))
 def ar_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ar.findings(rows(spark, sf_dir, TEXTS))
+    return ar.findings(_texts(spark, sf_dir))
 
 
 @query(f"SELECT key, m AS masked, array_to_string(f, ' ') AS marks, {_back('m')} AS back, {_back('m')} = ar AS same FROM {_masked()}")
 def masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("ar")
     back = ar.unmask(ar.mask(c), ar.tokens(c))
-    return rows(spark, sf_dir, TEXTS).select("key", ar.mask(c).alias("masked"), F.array_join(ar.tokens(c), " ").alias("marks"), back.alias("back"), (back == c).alias("same"))
+    return _texts(spark, sf_dir).select("key", ar.mask(c).alias("masked"), F.array_join(ar.tokens(c), " ").alias("marks"), back.alias("back"), (back == c).alias("same"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in ar.STOPWORDS) + "]"
@@ -132,7 +136,7 @@ _AR_WORDS = r"regexp_extract_all(ar, '[\x{0600}-\x{06FF}]+')"
 @query(rf"SELECT key, coalesce(list_filter({_AR_WORDS}, lambda w: NOT list_contains({_STOP}, w))[1], {_AR_WORDS}[1], '') AS word, substr(trim(regexp_replace(translate(regexp_replace(ar, '[\x{{064B}}-\x{{065F}}\x{{0670}}\x{{0640}}]', '', 'g'), 'أإآٱةى٠١٢٣٤٥٦٧٨٩', 'ااااهي0123456789'), '\s+', ' ', 'g')), 1, 120) AS preview, regexp_matches(ar, 'تم\s|بنجاح|فشل|خطأ([^\p{{L}}]|$)|لا\s+يمكن|غير\s+متاح') AS status FROM ({TEXTS})")
 def ar_text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("ar")
-    return rows(spark, sf_dir, TEXTS).select("key", ar.first_word(c).alias("word"), ar.preview(c).alias("preview"), ar.is_status(c).alias("status"))
+    return _texts(spark, sf_dir).select("key", ar.first_word(c).alias("word"), ar.preview(c).alias("preview"), ar.is_status(c).alias("status"))
 
 
 _TERMS = "(VALUES ('الملفات'), ('طلب'), ('كلم'), ('السعر'), ('ل'), ('بالملف'), ('')) AS t(term)"
@@ -142,7 +146,7 @@ _CORE = "regexp_replace(regexp_replace({c}, '^(ال|ل|ب|ك|و|ف)', ''), '[ا
 @query(rf"SELECT key, term FROM ({TEXTS}), {_TERMS} WHERE term <> '' AND ar <> '' AND (contains(ar, term) OR (length({_CORE.format(c='term')}) >= 2 AND len(list_filter(regexp_split_to_array(ar, '[^\p{{L}}\p{{N}}_\x{{0600}}-\x{{06FF}}]+'), lambda w: w <> '' AND contains({_CORE.format(c='w')}, {_CORE.format(c='term')}) AND abs(length({_CORE.format(c='w')}) - length({_CORE.format(c='term')})) <= 3)) > 0))")
 def ar_fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.explode(F.array(*map(F.lit, ("الملفات", "طلب", "كلم", "السعر", "ل", "بالملف", ""))))  # a stated, fixed list
-    d = rows(spark, sf_dir, TEXTS).select("key", "ar", terms.alias("term"))
+    d = _texts(spark, sf_dir).select("key", "ar", terms.alias("term"))
     return d.where(ar.fuzzy_contains(F.col("ar"), F.col("term"))).select("key", "term")
 
 
@@ -155,4 +159,4 @@ def ar_semantic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.operators.pairs import ACTIONS, missing_actions
 
     e, c = F.col("en"), F.col("ar")
-    return rows(spark, sf_dir, TEXTS).where(~tx.is_blank(c)).select("key", ar.candidate(e, c, missing_actions(e, c), ACTIONS).alias("candidate"))
+    return _texts(spark, sf_dir).where(~tx.is_blank(c)).select("key", ar.candidate(e, c, missing_actions(e, c), ACTIONS).alias("candidate"))

@@ -293,3 +293,18 @@ def test_audit_keeps_the_first(spark):
     got = [r for r in findings(d).collect() if r.key == "k" and r.issue_type == "missing_in_en"]
     assert [(r.old, r.seq.old, r.seq._part, r.severity) for r in got] == [("", None, 7, "high")]
     assert ("j", "grammar") in {(r.key, r.issue_type) for r in findings(d).collect()}
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no tables")
+def test_arabic_rules_share_their_steps(spark):
+    from glossa.operators import arabic as ar
+    from glossa.plans import registry
+
+    rules = str(ar.issues(F.col("key"), F.col("ar")))
+    assert 0 < rules.count("regexp_") <= 60  # 239 with each use of a masked text written out
+    q = registry.queries()
+    for name in ("ar_findings", "ar_whitespace", "ar_fuzzy_terms"):
+        assert "RoundRobinPartitioning" in _plan(q[name](spark, SF)), name
+    got = lambda t: one(spark, F.transform(ar.issues(F.lit("k"), F.col("ar")), lambda x: x["issue_type"]), ar=t)
+    assert got("") == ["empty_string"] and got("نص  hello") == ["spacing", "mixed_script"] and got("{x}") == []
+    assert got("ما {x} , هذا?") == ["english_punctuation"]
