@@ -19,14 +19,15 @@ PROTECTED = r"^([A-Z]{2,}|[A-Z]?[a-z]+[A-Z]\w*)$"
 
 def text_type(key: Column, value: Column) -> Column:
     """By the key's tokens (and neighbouring pairs of them), else by the text's shape."""
-    t = tx.key_tokens(key)
-    pairs = F.transform(F.slice(t, 2, F.size(t)), lambda x, i: F.concat(F.get(t, i), F.lit("_"), x))
-    have = F.concat(t, pairs)
-    out = None
-    for kind, words in HINTS.items():
-        hit = F.arrays_overlap(have, F.array(*map(F.lit, words.split())))
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
-    return out.when(tx.shape(value) == "sentence_like", "message").when(tx.shape(value) == "short_label", "label").otherwise("unknown")
+
+    def of(t: Column) -> Column:
+        out = None
+        for kind, words in HINTS.items():
+            hit = reduce(lambda a, b: a | b, [t.contains(f"_{w}_") for w in words.split()])
+            out = F.when(hit, kind) if out is None else out.when(hit, kind)
+        return out.otherwise(tx.let(tx.shape(value), lambda s: F.when(s == "sentence_like", "message").when(s == "short_label", "label").otherwise("unknown")))
+
+    return tx.let(F.concat(F.lit("_"), tx.joined_tokens(key), F.lit("_")), of)
 
 
 def technical_key(key: Column) -> Column:

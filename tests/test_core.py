@@ -308,3 +308,15 @@ def test_arabic_rules_share_their_steps(spark):
     got = lambda t: one(spark, F.transform(ar.issues(F.lit("k"), F.col("ar")), lambda x: x["issue_type"]), ar=t)
     assert got("") == ["empty_string"] and got("نص  hello") == ["spacing", "mixed_script"] and got("{x}") == []
     assert got("ما {x} , هذا?") == ["english_punctuation"]
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no tables")
+def test_text_types_cost_little(spark):
+    from glossa.operators import queue as qu
+    from glossa.plans import registry
+
+    assert 0 < str(qu.text_type(F.col("k"), F.col("v"))).count("regexp_") <= 4  # 100 with the key's tokens written out for each use
+    assert "RoundRobinPartitioning" in _plan(registry.queries()["text_types"](spark, SF))
+    kind = lambda k, v="one two three four": one(spark, qu.text_type(F.col("k"), F.col("v")), k=k, v=v)
+    assert [kind(k) for k in ("a.dialogTitle", "push--body", "sub_title", "subtitles", "btn", "submit.x.TITLE", "__name", "İd")] == ["dialog_title", "notification_body", "subtitle", "unknown", "button", "button", "form_label", "unknown"]
+    assert [kind("k", v) for v in ("Save", "Save it.", "", None)] == ["label", "message", "unknown", "unknown"] and kind(None, "Save") == "label"
