@@ -16,6 +16,8 @@ PATTERNS = [
     ("accessor_static", "accessor", r"""\bl10n\.([a-z][A-Za-z0-9]*)"""),
     ("concat", "dynamic", r"""\bt\(["']([A-Za-z0-9_.-]+)["'] \+ """),
 ]
+#: What a line must have for a pattern to match; the pattern runs on such lines alone.
+_NEEDS = dict(zip((rx for *_, rx in PATTERNS), (".tr", "t(", "__(", "@lang(", "$t(", "i18nKey=", "l10n.", " + "), strict=True))
 _KEY = r"""(?:'([^'"\r\n]+)'|"([^'"\r\n]+)")"""
 _ARG = r"""(?![\s'"])([^)\r\n]+?)\s*[,)]"""
 
@@ -56,6 +58,8 @@ def scan(lines: DataFrame, col: str = "code", patterns: list[tuple[str, str, str
             found = F.zip_with(one, two, lambda x, y: F.when(x == "", y).otherwise(x))
         else:
             found = F.regexp_extract_all(F.col(col), F.lit(rx), 1)
+        if rx in _NEEDS:
+            found = F.when(F.col(col).contains(_NEEDS[rx]), found).otherwise(F.array().cast("array<string>"))
         return F.transform(found, lambda k: F.struct(F.lit(family).alias("family"), F.lit(mode).alias("mode"), k.alias("key")))
 
     found = F.flatten(F.array(*[uses(*p) for p in patterns or PATTERNS]))
@@ -127,7 +131,7 @@ def dynamic_matches(keys: DataFrame, used: DataFrame) -> DataFrame:
     A prefix match is an equi join once keys are cut to the lengths that prefixes have; those lengths are a handful.
     """
     prefixes = used.where("mode = 'dynamic'").select(F.col("key").alias("prefix")).distinct()
-    lengths = prefixes.select(F.length("prefix").alias("m")).distinct()
+    lengths = prefixes.select(F.coalesce(F.length("prefix"), F.lit(-1)).alias("m")).distinct()  # never null: a filter on it would set this reading of the uses apart from the others
     cuts = keys.select("key").join(F.broadcast(lengths), F.length("key") >= F.col("m")).select("key", F.expr("left(key, m)").alias("_p"))
     return cuts.join(prefixes, F.col("_p") == F.col("prefix")).select("key", "prefix")
 
@@ -135,14 +139,14 @@ def dynamic_matches(keys: DataFrame, used: DataFrame) -> DataFrame:
 def key_status(en: DataFrame, ar: DataFrame, used: DataFrame) -> DataFrame:
     """(key, status) for each key of the catalogs or the code: missing_in_both, missing_ar, missing_en, unused, dynamic or used.
 
-    Uses are folded to one row a key first, so that the code is read once and what is shuffled twice is small.
+    Catalogs and uses are folded to one row of bits a key (1 en, 2 ar, 4 used, 8 prefix of a dynamic use); all steps read that one shuffle, so the code is read once.
     """
-    uses = used.groupBy("key").agg(F.max(F.when(F.col("mode") != "dynamic", True)).alias("u"), F.max(F.when(F.col("mode") == "dynamic", True)).alias("p"))
-    sides = en.select("key", F.lit(True).alias("e"), F.lit(None).cast("boolean").alias("a")).unionAll(ar.select("key", F.lit(None).cast("boolean"), F.lit(True)))
-    rows = sides.withColumn("u", F.lit(None).cast("boolean")).unionAll(uses.where("u").select("key", F.lit(None).cast("boolean"), F.lit(None).cast("boolean"), "u"))
-    d = rows.where("key is not null").groupBy("key").agg(*[F.max(c).alias(c) for c in "eau"])
-    open_ = d.where("u is null and (e or a)")
-    dyn = dynamic_matches(open_.select("key"), uses.where("p").select("key", F.lit("dynamic").alias("mode"))).select("key", F.lit(True).alias("d")).distinct()
-    d = d.join(dyn, "key", "left")
-    status = F.when(F.col("e").isNull() & F.col("a").isNull(), "missing_in_both").when(F.col("u").isNotNull() & F.col("a").isNull(), "missing_ar").when(F.col("u").isNotNull() & F.col("e").isNull(), "missing_en").when(F.col("u").isNotNull(), "used").when(F.col("d").isNotNull(), "dynamic").otherwise("unused")
+    bit = lambda d, b: d.select("key", b.alias("b"))
+    mode = F.col("mode")
+    rows = bit(en, F.lit(1)).unionAll(bit(ar, F.lit(2))).unionAll(bit(used, F.when(mode == "dynamic", 8).when(mode.isNotNull(), 4).otherwise(0)))
+    d = rows.where("key is not null").groupBy("key").agg(F.bit_or("b").alias("b"))  # one column, and filters on it alone: else each step would have a shuffle of its own
+    has = lambda bits: F.col("b").bitwiseAND(bits) != 0
+    dyn = dynamic_matches(d.where(~has(4) & has(3)), d.where(has(8)).select("key", F.lit("dynamic").alias("mode"))).select("key", F.lit(True).alias("d")).distinct()
+    d = d.where(has(7)).join(dyn, "key", "left")
+    status = F.when(~has(3), "missing_in_both").when(has(4) & ~has(2), "missing_ar").when(has(4) & ~has(1), "missing_en").when(has(4), "used").when(F.col("d").isNotNull(), "dynamic").otherwise("unused")
     return d.select("key", status.alias("status"))

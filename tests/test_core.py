@@ -320,3 +320,22 @@ def test_text_types_cost_little(spark):
     kind = lambda k, v="one two three four": one(spark, qu.text_type(F.col("k"), F.col("v")), k=k, v=v)
     assert [kind(k) for k in ("a.dialogTitle", "push--body", "sub_title", "subtitles", "btn", "submit.x.TITLE", "__name", "İd")] == ["dialog_title", "notification_body", "subtitle", "unknown", "button", "button", "form_label", "unknown"]
     assert [kind("k", v) for v in ("Save", "Save it.", "", None)] == ["label", "message", "unknown", "unknown"] and kind(None, "Save") == "label"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no tables")
+def test_key_status_reads_the_code_once(spark):
+    from glossa.plans import registry
+
+    d = registry.queries()["key_status"](spark, SF)
+    d._jdf.queryExecution().toRdd().count()
+    plan = _plan(d).split("Initial Plan")[0]
+    assert plan.count("lineitem.parquet") == 1 and "ReusedExchange" in plan
+    sides = lambda *keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    used = spark.createDataFrame([("a", "static"), ("b", "accessor"), ("c", "static"), ("x_", "dynamic"), ("x_1", "dynamic"), ("d", "static"), (None, "static"), (None, "dynamic"), ("n", None)], "key string, mode string")
+    got = {r.key: r.status for r in us.key_status(sides("a", "b", "x_1", "y", None), sides("a", "c", "x_2", "x"), used).collect()}
+    assert got == {"a": "used", "b": "missing_ar", "c": "missing_en", "d": "missing_in_both", "x_1": "dynamic", "x_2": "dynamic", "x": "unused", "y": "unused"}
+
+
+def test_scan_looks_at_lines_that_may_match(spark):
+    d = spark.createDataFrame([("'a.b'.tr",), ("t('c') __('d')",), ("@lang('e')$t('f')",), ("i18nKey='g' l10n.hX",), ("t('i_' + x)",), ("nothing",), (None,)], "code string")
+    assert sorted((r.family, r.key) for r in us.scan(d).collect()) == [("accessor_static", "hX"), ("concat", "i_"), ("function", "c"), ("function", "f"), ("getx", "a.b"), ("laravel", "d"), ("laravel_lang", "e"), ("react", "g"), ("vue", "f")]
