@@ -64,7 +64,7 @@ def empty_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""SELECT key, 'whitespace' AS issue_type, en AS old, {strip('en')} AS new FROM ({PAIRS}) WHERE {strip('en')} <> en UNION ALL
  SELECT key, 'spacing', en, regexp_replace(en, ' {{2,}}', ' ', 'g') FROM ({PAIRS}) WHERE regexp_matches(en, ' {{2,}}') AND NOT regexp_matches(en, '[\n\r\t]') AND NOT regexp_matches(en, '<[^>]+>') AND NOT regexp_matches(en, '{_TOKEN}') AND NOT {tech('en')}""")
 def spacing_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.spacing_findings(rows(spark, sf_dir, PAIRS))
+    return pr.spacing_findings(rows(spark, sf_dir, PAIRS, costly=True))
 
 
 def _lost(en: str, ar: str) -> str:
@@ -80,7 +80,7 @@ _SHAPES = f"SELECT key, {shape('en')} AS se, {shape('ar')} AS sa, {n_words('en')
  SELECT key, actions, 'message_label_mismatch' FROM ({_SHAPES}) WHERE se = 'short_label' AND sa = 'sentence_like' UNION ALL
  SELECT key, actions, 'possible_meaning_loss' FROM ({_SHAPES}) WHERE n >= 3 AND actions <> ''""")
 def shape_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.shape_findings(rows(spark, sf_dir, PAIRS))
+    return pr.shape_findings(rows(spark, sf_dir, PAIRS, costly=True))
 
 
 def _cues(c: str) -> str:

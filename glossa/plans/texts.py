@@ -39,7 +39,7 @@ def shape(c: str) -> str:
 
 @query(rf"SELECT key, regexp_matches(en, '<[^>]+>') AS html, regexp_matches(en, '(?i)\{{[^{{}}]+,\s*(selectordinal|plural|select)\s*,') AS icu, {tech('en')} AS technical, regexp_matches(ar, '[\x{{0600}}-\x{{06FF}}]') AS arabic, ar IS NULL OR {strip('ar')} = '' AS blank, {shape('en')} AS shape FROM ({PAIRS})")
 def text_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rows(spark, sf_dir, PAIRS)
+    d = rows(spark, sf_dir, PAIRS, costly=True)
     return d.select("key", tx.has_html(F.col("en")).alias("html"), tx.has_icu(F.col("en")).alias("icu"), tx.is_technical(F.col("en")).alias("technical"), tx.has_arabic(F.col("ar")).alias("arabic"), tx.is_blank(F.col("ar")).alias("blank"), tx.shape(F.col("en")).alias("shape"))
 
 
@@ -79,7 +79,7 @@ def _wording_sql() -> str:
 
 @query(_wording_sql())
 def wording_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rows(spark, sf_dir, PAIRS).where("en is not null")
+    d = rows(spark, sf_dir, PAIRS, costly=True).where("en is not null")
     return d.select("key", F.col("en").alias("old"), F.explode(tx.wording_issues(F.col("en"))).alias("x")).select("key", "x.issue_type", "x.message", "old", "x.new")
 
 
@@ -92,7 +92,7 @@ def _nested_replace() -> str:
 
 @query(f"SELECT key, {_nested_replace()} AS text FROM ({PAIRS})")
 def safe_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, sf_dir, PAIRS).select("key", tx.safe_replace(F.col("en")).alias("text"))
+    return rows(spark, sf_dir, PAIRS, costly=True).select("key", tx.safe_replace(F.col("en")).alias("text"))
 
 
 @query(rf"SELECT key, en <> '' AND ar <> '' AND en <> ar AND len(regexp_extract_all(en, '\S+')) <= 12 AND len(regexp_extract_all(ar, '\S+')) <= 12 AND abs(length(en) - length(ar)) <= greatest(10, length(en) // 2) AS small FROM ({PAIRS}) WHERE en IS NOT NULL AND ar IS NOT NULL")
@@ -157,20 +157,20 @@ _TOKEN = r"\$\{\w+\}|\{\{\w+\}\}|\{\w+\}|%(?:[0-9]+\$)?[sdfox@]|:[A-Za-z_]\w*|\$
 
 @query(rf"SELECT key, array_to_string(regexp_extract_all(en, '{_TOKEN}'), ' ') AS en, array_to_string(regexp_extract_all(ar, '{_TOKEN}'), ' ') AS ar FROM (SELECT key, coalesce(en, '') AS en, coalesce(ar, '') AS ar FROM ({PAIRS}))")
 def placeholder_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rows(spark, sf_dir, PAIRS)
+    d = rows(spark, sf_dir, PAIRS, costly=True)
     raw = lambda c: F.array_join(F.transform(ph.parse(F.col(c)), lambda x: x["raw"]), " ").alias(c)
     return d.select("key", raw("en"), raw("ar"))
 
 
 @query()
 def placeholder_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rows(spark, sf_dir, PAIRS).select("key", ph.parse(F.col("en")).alias("e"), ph.parse(F.col("ar")).alias("a"))
+    d = rows(spark, sf_dir, PAIRS, costly=True).select("key", ph.parse(F.col("en")).alias("e"), ph.parse(F.col("ar")).alias("a"))
     return d.select("key", F.explode(ph.compare(F.col("e"), F.col("a"))).alias("x")).select("key", "x.issue_type", "x.severity", "x.message")
 
 
 @query(rf"SELECT key, len(regexp_extract_all(en, '{_TOKEN}')) AS n_en, len(regexp_extract_all(ar, '{_TOKEN}')) AS n_ar FROM (SELECT key, coalesce(en, '') AS en, coalesce(ar, '') AS ar FROM ({PAIRS})) WHERE len(regexp_extract_all(en, '{_TOKEN}')) <> len(regexp_extract_all(ar, '{_TOKEN}'))")
 def placeholder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = rows(spark, sf_dir, PAIRS).select("key", F.size(ph.parse(F.col("en"))).cast("bigint").alias("n_en"), F.size(ph.parse(F.col("ar"))).cast("bigint").alias("n_ar"))
+    d = rows(spark, sf_dir, PAIRS, costly=True).select("key", F.size(ph.parse(F.col("en"))).cast("bigint").alias("n_en"), F.size(ph.parse(F.col("ar"))).cast("bigint").alias("n_ar"))
     return d.where("n_en <> n_ar")
 
 

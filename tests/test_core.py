@@ -303,7 +303,7 @@ def test_arabic_rules_share_their_steps(spark):
     rules = str(ar.issues(F.col("key"), F.col("ar")))
     assert 0 < rules.count("regexp_") <= 60  # 239 with each use of a masked text written out
     q = registry.queries()
-    for name in ("ar_findings", "ar_whitespace", "ar_fuzzy_terms"):
+    for name in ("ar_findings", "ar_whitespace", "ar_fuzzy_terms", "shape_issues", "spacing_issues", "text_shapes", "wording_issues", "safe_replacements", "placeholder_tokens", "placeholder_issues", "placeholder_counts"):
         assert "RoundRobinPartitioning" in _plan(q[name](spark, SF)), name
     got = lambda t: one(spark, F.transform(ar.issues(F.lit("k"), F.col("ar")), lambda x: x["issue_type"]), ar=t)
     assert got("") == ["empty_string"] and got("نص  hello") == ["spacing", "mixed_script"] and got("{x}") == []
